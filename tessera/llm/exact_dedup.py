@@ -14,6 +14,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")
 
 
-def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_bytes (of the normalised text).
+def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN, row: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, text_bytes (of the normalised text) and row (the column of
+    that name, or a number given here).
 
     Groups are equal SHA-256 digests with equal byte lengths; min over (has doc_id, doc_id, position) verifies the smallest identifier
     at every level."""
@@ -40,7 +42,7 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in:
         F.unhex(F.sha2(n_text, 256)).alias("digest"),
         F.octet_length(n_text).cast("long").alias("size"),
         F.spark_partition_id().cast("long").alias("run"),
-        F.monotonically_increasing_id().alias("row"),
+        (docs[row] if row else F.monotonically_increasing_id()).alias("row"),
     ).sortWithinPartitions("digest", "doc_id")
     runs = scratch.keep(runs)
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
@@ -59,12 +61,20 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in:
     answer = answer.select("run", "digest", "size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n")
     return runs.join(answer, ["run", "digest", "size"]).select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), F.col("size").alias("text_bytes"),
+        F.lower(F.hex("digest")).alias("text_sha256"), F.col("size").alias("text_bytes"), "row",
     )
 
 
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, all columns. Rows are numbered and written once, since doc_id need not tell them apart."""
+    row = f"row_{uuid.uuid4().hex}"
+    rows = Scratch(docs.sparkSession, "exact-rows").keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    stay = assign(rows, text, doc_id, row=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(load(spark, sf_dir)).drop("text_bytes")
+    return assign(load(spark, sf_dir)).drop("text_bytes", "row")
 
 
 ORACLE_SQL = r"""
