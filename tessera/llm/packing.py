@@ -6,7 +6,9 @@ with room, found by descending a tree that holds the largest free capacity under
 up to fill the gaps of the others, and the last one is cut into powers of two, so no sequence of a group needs padding.
 
 Tokens come from a per-process table of words: the tokenizer drops white space and never merges across it, so a text's ids are its
-words' ids, concatenated. Words are split at ASCII blanks and line ends only.
+words' ids, concatenated. Words are split at ASCII blanks and line ends only. A word of plain letters (no character from U+0130 on, for which
+normal forms and lower case are simple) is split by the tokenizer's own pattern, and the library's merge model gives each part's ids; any
+other word, and one that may hold a special token, goes through the whole tokenizer.
 
 Defined results. Null or empty text: one piece, the end id alone. Empty table: no rows. Rows with the same doc_id are packed each, and
 their pieces carry the same doc_id. Null doc_id is packed too. Columns other than doc_id and text are not read.
@@ -14,6 +16,7 @@ their pieces carry the same doc_id. Null doc_id is packed too. Columns other tha
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +38,19 @@ LENGTH = 2048
 GROUP_BYTES = 16 << 20
 SEED = 7
 #: Words kept per process, and the longest word that is kept.
-TABLE_WORDS, TABLE_CHARS = 300_000, 48
-_BLANKS = str.maketrans("\t\n\r", "   ")
+TABLE_WORDS, TABLE_CHARS = 500_000, 48
+
+
+#: The tokenizer's split pattern, and the words whose normal form is their lower case.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile(r"[!-~\xa1-\u012f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class Words(dict):
@@ -51,29 +66,52 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path or public.path(VOCABULARY))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "H" if self.dtype == "<u2" else "I"
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         return self.rest[word]
 
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            ids = [x.id for x in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+            if len(self.parts) < TABLE_WORDS and len(text) <= TABLE_CHARS:
+                self.parts[text] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        found = self.parts.get(low)
+        if found is not None:  # a part is never split, and only plain words have parts
+            return found
+        if low[-1:] in (".", ",") and low[-2:-1].isalpha() and (found := self.parts.get(low[:-1])) is not None:
+            return found + self.part(low[-1])
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join([self.part(x) for x in _SPLIT.findall(low)])
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
     def learn(self, new: list[str]) -> None:
         self.rest = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (self if len(self) < TABLE_WORDS and len(w) <= TABLE_CHARS else self.rest)[w] = np.array(e.ids, self.dtype).tobytes()
+        for w in new:
+            (self if len(self) < TABLE_WORDS and len(w) <= TABLE_CHARS else self.rest)[w] = self.word(w)
 
 
 @lru_cache(2)
-def table(path: str | None = None) -> Words:
+def table(path: str | None) -> Words:
     return Words(path)
 
 
 def encode_texts(texts: list[str], path: str | None = None) -> list[bytes]:
     """Ids of each text with the end id, packed in the table's dtype."""
     t = table(path)
-    split = [[w for w in x.translate(_BLANKS).split(" ") if w] if x else [] for x in texts]
+    split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
     t.learn([w for w in set(chain.from_iterable(split)) if w not in t])
     end = np.array([END_ID], t.dtype).tobytes()
     return [b"".join(map(t.__getitem__, x)) + end for x in split]
