@@ -7,6 +7,7 @@ Word characters are ``[\\p{L}\\p{N}_]`` and white space is Unicode white space p
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,12 +117,21 @@ def phrase_words(c: Column | str, unicode: bool = True) -> Column:
     return F.filter(F.split(F.lower(F.replace(index_form(c, unicode), F.lit("_"), F.lit(" "))), " "), lambda w: w != "")
 
 
+def let(fn: Callable[..., Column], *values: Column) -> Column:
+    """fn over values that are computed once; inside fn they may be used in lambdas even if Python functions made them."""
+    packed = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(packed), lambda s: fn(*[s[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def word_overlap(query: Column | str, text: Column | str, unicode: bool = True) -> Column:
     """TXT7: share of the query's telling words, with repeats, that the text has; 4 places."""
     asked = F.filter(normal_words(query, unicode), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > 1))
-    have = normal_words(text, unicode)
-    found = F.size(F.filter(asked, lambda w: F.array_contains(have, w)))
-    return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(F.round(found / F.size(asked), 4))
+
+    def share(words: Column, have: Column) -> Column:
+        found = F.size(F.filter(words, lambda w: F.array_contains(have, w)))
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.round(found / F.size(words), 4))
+
+    return let(share, asked, normal_words(text, unicode))
 
 
 def is_subject(c: Column | str, unicode: bool = True) -> Column:

@@ -56,7 +56,8 @@ def rank(name: Column | str) -> Column:
 
 
 def _of(name: Column | str, values: list) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), rank_or_null(name) + 1)
+    at = rank_or_null(name)
+    return F.when(at.isNotNull(), F.element_at(F.array(*map(F.lit, values)), at + 1))
 
 
 def title(name: Column | str) -> Column:

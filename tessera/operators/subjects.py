@@ -76,8 +76,12 @@ def overlap(query: Column | str, text: Column | str, whole: bool = False, unicod
     """TXT10: share of the query's words that share a form with the text; 4 places."""
     asked = word_forms(asked_words(query, unicode))
     have = F.array_distinct(F.flatten(word_forms(F.array_distinct(own_words(text, whole, unicode)))))
-    n = F.size(asked)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.size(F.filter(asked, lambda f: F.arrays_overlap(f, have))) / n, 4))
+
+    def share(words: Column, held: Column) -> Column:
+        n = F.size(words)
+        return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.size(F.filter(words, lambda f: F.arrays_overlap(f, held))) / n, 4))
+
+    return tx.let(share, asked, have)
 
 
 def title_share(query: Column | str, text: Column | str, topic: Column | str, unicode: bool = True) -> Column:
