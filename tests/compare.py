@@ -29,6 +29,10 @@ def rows(names: list[str], data) -> list[tuple]:
     return sorted((tuple(cell(r[i]) for i in order) for r in data), key=repr)
 
 
+#: Names of equal types.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "DATE": "date"}
+
+
 def sql_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
     con = duckdb.connect()
     for t in TABLES:
@@ -36,11 +40,12 @@ def sql_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
         con.execute(f"create view {t} as select * from read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
-    return sorted(names), rows(names, cur.fetchall())
+    kinds = [TYPES.get(str(c[1]), str(c[1])) for c in cur.description]
+    return sorted(zip(names, kinds)), rows(names, cur.fetchall())
 
 
 def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    return sorted(df.columns), rows(df.columns, [tuple(r) for r in df.collect()])
+    return sorted(df.dtypes), rows(df.columns, [tuple(r) for r in df.collect()])
 
 
 def difference(df, sf_dir: str, sql: str) -> str | None:
