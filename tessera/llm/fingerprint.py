@@ -243,7 +243,9 @@ def near_pairs(marks: DataFrame, least: float = 0.8) -> DataFrame:
     bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1, 2), F.substring("fingerprint", 3 + i * BAND, BAND)) for i in range(BANDS)])
     w = W.partitionBy("band").orderBy("doc_id")
     rows = classes.select("doc_id", "fingerprint", F.explode(bands).alias("band")).filter(F.length(F.substring_index("band", ":", -1)) == 2 + BAND)
-    near = rows.select("doc_id", "fingerprint", F.explode(F.array(F.struct(F.lag("doc_id").over(w).alias("id"), F.lag("fingerprint").over(w).alias("fp")), F.struct(F.first("doc_id").over(w).alias("id"), F.first("fingerprint").over(w).alias("fp")))).alias("o"))
+    entry = F.struct(F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))
+    near = rows.withColumn("before", F.lag(entry).over(w)).withColumn("head", F.first(entry).over(w))
+    near = near.select("doc_id", "fingerprint", F.explode(F.array("before", "head")).alias("o"))
 
     @F.pandas_udf("double")
     def alike(a, b):
