@@ -7,6 +7,7 @@ All text kernels work on the UTF-8 bytes of an Arrow column. A null text counts
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,6 +94,20 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives free memory of this Python worker back to the system, for the executor's other users."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of about `limit` text bytes; a text longer than that is a slice of its own."""
     n = batch.num_rows
@@ -104,6 +119,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def strings(col: pa.Array) -> list[str]:
@@ -143,15 +159,23 @@ _LOWER = _RAND.copy()
 _LOWER[65:91] = _RAND[97:123]
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _P, U64), np.full(n, pow(_P, -1, 2**64), U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_kept_powers: list[np.ndarray] = []
+#: Powers kept between calls; longer runs, for very long texts, are made anew.
+KEPT_POWERS = 3 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(n).bit_length()))
+    """The first n powers (or more) of the multiplier and of its inverse."""
+    if _kept_powers and len(_kept_powers[0]) >= n:
+        return _kept_powers[0], _kept_powers[1]
+    size = -(-n // (1 << 18)) << 18
+    up, down = np.full(size, _P, U64), np.full(size, pow(_P, -1, 2**64), U64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if size <= KEPT_POWERS:
+        _kept_powers[:] = up, down
+    return up, down
 
 
 def mix(x: np.ndarray) -> np.ndarray:

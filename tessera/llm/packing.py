@@ -38,7 +38,7 @@ LENGTH = 2048
 GROUP_BYTES = 16 << 20
 SEED = 7
 #: Words kept per process, and the longest word that is kept.
-TABLE_WORDS, TABLE_CHARS = 500_000, 48
+TABLE_WORDS, TABLE_CHARS = 250_000, 48
 
 
 #: The tokenizer's split pattern, and the words whose normal form is their lower case.

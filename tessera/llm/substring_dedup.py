@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Scratch, column, load, owner, raw, rolling, slices, word_hashes, words
+from tessera.llm.common import U64, Scratch, column, load, owner, raw, release, rolling, slices, word_hashes, words
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text per slice, and per bucket on average.
@@ -160,6 +160,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 s = Slice(r["ids"], r["off"], r["data"], window, block)
                 if len(s.values):
                     yield _dealt(r["slice"], s.values, n, s.values.astype("<u4"), s.flags())
+                release()
 
     def hits(got: pa.Table) -> pa.Table:
         def judge(starts, group, flag):
@@ -176,6 +177,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 _, values, _, least = s.around(s.bits(s.values, n, r["hits"]))
                 if len(values):
                     yield _dealt(r["slice"], values, n, values.astype("<u8"), least.astype("<i8"))
+                release()
 
     def smallest(got: pa.Table) -> pa.Table:
         return _answer(got, "<u8", "<i8", lambda starts, group, least: np.minimum.reduceat(least, starts)[group] < least)
