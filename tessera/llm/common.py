@@ -12,7 +12,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tessera.session import ready, spread
+
 #: Separator class of the word contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker holds in numpy form at a time; a longer single text is one slice.
 SLICE_BYTES = 2 << 20
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package whatever folder the driver was started in."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{ROOT}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
-    return spark
-
-
 def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    df = ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 # --- scratch storage -------------------------------------------------------------------------------------------------
