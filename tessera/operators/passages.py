@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +78,28 @@ def cut(text: str, width: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
     return out
 
 
+_LETTER, _ARABIC, _LATIN = regex.compile(r"\p{L}+"), re.compile(r"[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff]"), re.compile("[A-Za-z]+")
+
+
+def meaningful(text: str, min_letters: int = MIN_LETTERS) -> bool:
+    """FLT5 for one passage, as tx.meaningful."""
+    if " " not in text or sum(map(len, _LETTER.findall(text))) < min_letters:
+        return False
+    arabic = 0 if text.isascii() else len(_ARABIC.findall(text))
+    if not arabic:
+        return len(text.split()) > 1
+    latin = sum(map(len, _LATIN.findall(text)))
+    return len(text.split()) > 1 and not (arabic + latin >= 20 and 0.08 < latin / (arabic + latin) < 0.9)
+
+
 def pieces(text: Column | str, width: int = MAX_CHARS, overlap: int = OVERLAP, min_letters: int = MIN_LETTERS) -> Column:
-    """TXT3: array of the passages worth keeping. Cutting is an Arrow function, the filter is native."""
+    """TXT3: array of the passages worth keeping, cut and tested in one Arrow function."""
 
     @F.pandas_udf("array<string>")
     def cut_all(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: cut(x, width, overlap) if x else [])
+        return s.map(lambda x: [c for c in cut(x, width, overlap) if meaningful(c, min_letters)] if x else [])
 
-    return F.filter(cut_all(col(text)), lambda c: tx.meaningful(c, min_letters))
+    return cut_all(col(text))
 
 
 def chunked(docs: DataFrame, source: str, text: str = "text", **options: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Literal quotes: which passages hold a phrase word for word (TXT6, JN1, ORD5).
 
 A phrase is found by its first three words: every passage's runs of three words are looked up among the phrases' first three, and a
-hit is verified on the whole phrase. The phrase side is small (one row per phrase); Spark broadcasts it when its size allows and
-shuffles otherwise, so nothing is ever compared pair by pair.
+hit is verified on the whole phrase. Up to SMALL phrases are broadcast, and a passage's text then stays beside its runs in the same
+stage; more phrases are joined by hash, runs alone are shuffled, and texts follow for the hits. Nothing is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from tessera.functions import text as tx
 
 # Bounds of the rule that tells a quote from a formula, and the words of transmission in index form.
 MIN_WORDS, LONG_WORDS, MANY, MOST = 3, 8, 20, 60
+#: Phrases that are broadcast at most (counted first); each is a hash, an id and a few words.
+SMALL = 100_000
 TRANSMISSION = ("قال", "قالت", "قالا", "قالوا", "عن", "حدثنا", "حدثني", "حدثه", "اخبرنا", "اخبرني", "انبانا", "سمعت", "سمع", "يقول", "رضي")
 
 
@@ -28,12 +30,15 @@ def matches(phrases: DataFrame, passages: DataFrame, unicode: bool = True) -> Da
     asked = phrases.select("query_id", tx.phrase_words("query", unicode).alias("w")).filter(F.size("w") >= MIN_WORDS)
     asked = asked.select("query_id", F.array_join("w", " ").alias("phrase"), F.xxhash64(F.slice("w", 1, 3)).alias("head"))
     w = F.split("body", " ")
-    heads = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, 3)))
-    # only the hashes are exploded; a passage's body follows once per phrase it may hold
-    runs = passages.select("rowid", w.alias("w")).filter(F.size("w") >= 3).select("rowid", F.explode(F.array_distinct(heads)).alias("head"))
-    near = runs.join(asked, "head").select("query_id", "rowid", "phrase")
+    runs = F.explode(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b"), F.slice(w, 3, 1 << 30).alias("c"))).alias("r")
+    head = F.xxhash64("r.a", "r.b", "r.c").alias("head")
     held = F.instr(F.concat(F.lit(" "), F.col("body"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))) > 0
-    return near.join(passages.select("rowid", "body"), "rowid").filter(held).select("query_id", "rowid")
+    if asked.limit(SMALL + 1).count() <= SMALL:
+        hits = passages.select("rowid", "body", runs).select("rowid", "body", head).join(F.broadcast(asked), "head")
+    else:
+        near = passages.select("rowid", runs).select("rowid", head).join(asked, "head").select("query_id", "rowid", "phrase").distinct()
+        hits = near.join(passages.select("rowid", "body"), "rowid")
+    return hits.filter(held).select("query_id", "rowid").distinct()
 
 
 def quotes(phrases: DataFrame, passages: DataFrame, unicode: bool = True) -> DataFrame:

@@ -460,7 +460,7 @@ def insert_ignored(spark, d):
     return registry.insert_or_ignore(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id < 100").withColumn("source", F.lit("other")), ["doc_id"])
 
 
-@query("select count(*) as items, sum(1024 * 8.8 + 1500 + 3 * strlen(text)) as bytes from documents")
+@query("select count(*) as items, sum(1024 * 8.8::double + 1500 + 3 * strlen(text))::double as bytes from documents")
 def size_estimate(spark, d):
     """SNK17, SCL12."""
     return passages.size_estimate(table(spark, d, "documents"), 1024, part=None).withColumn("bytes", F.col("bytes").cast("double"))
@@ -635,7 +635,7 @@ def events_prepared(spark, d):
     return writers.prepared_events(raw, SALT).select(F.col("created_at").alias("event_id"), "visitor_hash", "ok")
 
 
-@query("select count(*) as texts, sum(length(text))::bigint as chars, round_even(sum(length(text)) * 0.25, 0)::bigint as tokens, round_even(sum(length(text)) * 0.25, 0) * 0.02 / 1e6 as cost from documents")
+@query("select count(*) as texts, sum(length(text))::bigint as chars, round_even(sum(length(text)) * 0.25, 0)::bigint as tokens, (round_even(sum(length(text)) * 0.25, 0)::double * 0.02 / 1e6)::double as cost from documents")
 def token_estimate(spark, d):
     """AGG11."""
     return coll.token_estimate(table(spark, d, "documents"), 1000, 250, 0.02)

@@ -18,8 +18,19 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables of texts, whose rows take long to process.
+HEAVY = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was written as fewer row groups than there are cores is dealt out; a larger one is left as it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def col(c: Column | str) -> Column:

@@ -107,3 +107,9 @@ def test_codec_and_scalars(spark):
     assert one(spark, tx.matn_of("t"), t="عن زيد قال رسول الله صلى الله عليه وسلم قال كلمات الحديث هنا ثمانية على الأقل كما ترى الآن") .startswith("كلمات الحديث")
     assert one(spark, tx.matn_of("t"), t="بلا ذكر") == ""
     assert one(spark, tx.names_a_subject("t"), t="باب بر الوالدين") and not one(spark, tx.names_a_subject("t"), t="حديث أم سلمة")
+
+
+def test_both_tests_of_a_passage_agree(spark):
+    some = ["a b", "letters enough here", "هذا نص عربي سليم فيه كلمات", "هذا BE نص gall عربي INKS فيه abc كلمات xyz كثيرة", "12345678 90", "x" * 30, "", " ", "éàü ñoç ßéé"]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    assert [r[0] for r in df.select(tx.meaningful("t")).collect()] == [passages.meaningful(t) for t in some]
