@@ -31,7 +31,7 @@ RECORD = "struct<id:string,text:string,hukm:string,mohaddith:string,sanad:array<
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
-    """SRC15/SRC19: path, length, content of files below a folder, in order of path; larger ones are left out."""
+    """SRC15/SRC19: path, length, content of files below a folder, in order of path; larger ones are left out, and files without a byte are not listed."""
     found = ready(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return found.filter(F.col("length") <= most_bytes) if most_bytes else found
 
