@@ -4,9 +4,9 @@ import pytest
 from compare import difference, spark_rows
 
 import __spark_entry__ as entry
-from tessera.plans import queries, streams
+from tessera.plans import lifecycle, queries, streams
 
-CORE = {**queries.QUERIES, **streams.QUERIES}
+CORE = {**queries.QUERIES, **lifecycle.QUERIES, **streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(set(CORE) & set(entry.oracle_sql())))
