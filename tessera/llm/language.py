@@ -6,7 +6,7 @@ probability is the sum over its words. Piece probabilities come from expectation
 counts. Words are lower-cased, carry a leading space and, beyond MOST bytes, are taken in stretches of MOST bytes.
 
 The fit reads a bounded sample: of each language about `per_lang` training documents (a hash of doc_id below a rate), whole texts, none
-above `most_bytes`. Scoring reads every whole text. Words are scored once per batch of texts.
+above `most_bytes`, of the `most_langs` most frequent languages. Scoring reads every whole text. Words are scored once per batch of texts.
 
 Defined results. Null text or no letter: `und`, score 0. Empty table: no rows. Nothing to learn from: `und`, score 0, for all. Ties between
 languages: the first in alphabetical order. Repeated rows are scored each. Extra columns are ignored.
@@ -34,7 +34,7 @@ PIECE, MOST = 8, 48
 #: Scale per byte, so that a product over a stretch stays a normal number.
 SCALE = 16.0
 ROUNDS = 3
-PER_LANG, DOC_BYTES = 400, 1 << 16
+PER_LANG, DOC_BYTES, MOST_LANGS = 400, 1 << 16, 1000
 #: Weight of the mean of all languages in a piece's probability.
 SMOOTH = 0.02
 
@@ -239,13 +239,16 @@ def estimate(langs: list[str], lang: np.ndarray, found: list[bytes], n: np.ndarr
     return Model(langs, p * grow, ranks)
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = DOC_BYTES, ranks: str | None = None) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_bytes: int = DOC_BYTES, most_langs: int = MOST_LANGS, ranks: str | None = None) -> Model | None:
     """docs: doc_id, text, lang; learns from rows whose crc32(doc_id as text) mod 4 is not 2 and that have text and lang."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    total = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    rate = total.select("lang", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("rows")).alias("rate"))
+    total = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
+    if not total:
+        return None
+    # a row per language; as a literal, so texts are filtered where they are read
+    rate = F.create_map(*[x for r in total for x in (F.lit(r.lang), F.lit(min(1.0, per_lang / r.rows)))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.filter(F.octet_length("text") <= most_bytes).withColumn("chance", chance).join(rate, "lang").filter("chance < rate").select("lang", "text")
+    some = rows.filter((F.octet_length("text") <= most_bytes) & (chance < F.try_element_at(rate, "lang"))).select("lang", "text")
     got = word_counts(some).toArrow()
     if not got.num_rows:
         return None
