@@ -8,8 +8,9 @@ and fingerprints of different levels compare on the steps of the coarser one. Li
 
 `near_pairs` bands the samples, takes neighbours within equal bands as candidates and verifies them by likeness.
 
-The successor of a document (the next in descending doc_id) comes from range buckets of bounded size: bucket bounds are percentiles of doc_id,
-and the first document of each bucket also goes to the bucket before it. Only one number per bucket reaches the driver.
+The successor of a document (the next in descending doc_id) comes from range buckets: bucket bounds are percentiles of doc_id, and the first
+document of each bucket also goes to the bucket before it. A bucket is sorted by Spark and read as a stream, so its size is no matter for
+memory; one number per bucket, MOST_BUCKETS at most, reaches the driver.
 
 Defined results. Null text: as empty. Empty text: fingerprint of no samples, likeness 1 to another empty one and 0 to any other. Empty
 table: no rows. One document: it is its own successor. Repeated rows: one row each; equal doc_ids are in order of text. Null doc_id: after
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessera.llm.common import U64, column, load, mix, strings
+from tessera.llm.common import U64, column, load, mix, slices, strings
 
 PERIOD, CLASSES, LONGEST = 1 << 16, 64, 8
 SAMPLES = 128
 #: Text bytes in a bucket, and characters embedded at a time.
 BUCKET_BYTES, CHUNK_CHARS = 8 << 20, 4 << 20
+MOST_BUCKETS = 20_000
 #: With fewer texts than this at work, a plain loop is quicker than array steps.
 FEW = 24
 BANDS, BAND = 16, 8
@@ -160,11 +162,12 @@ def edited(text: str, successor: str) -> str:
 
 
 def with_successor(docs: DataFrame, fn, schema: T.StructType, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """fn(ids, texts, successors) -> columns by name, called per bucket on its documents in descending doc_id."""
+    """fn(ids, texts, successors) -> columns by name, called on runs of documents in descending doc_id; a successor that is in the same run is
+    the same object."""
     low = -(1 << 63)
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(low)).alias("doc_id"), docs["text"].alias("text"))
     total, = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()
-    n = max(1, -(-(total or 0) // bucket_bytes))
+    n = min(MOST_BUCKETS, max(1, -(-(total or 0) // bucket_bytes)))
     cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
@@ -186,18 +189,24 @@ def with_successor(docs: DataFrame, fn, schema: T.StructType, bucket_bytes: int
 
     dealt = rows.select("doc_id", "text", F.posexplode(places("doc_id")).alias("guest", "bucket"))
 
-    def group(got: pa.Table) -> pa.Table:
-        got = got.combine_chunks()
-        ids, guest, texts = got["doc_id"].to_numpy(), got["guest"].to_numpy(), strings(got["text"].combine_chunks())
-        rank = sorted(range(len(ids)), key=lambda i: (guest[i], -int(ids[i]), texts[i]))
-        own = [i for i in rank if not guest[i]]
-        ordered = [texts[i] for i in own]
-        after = [*ordered[1:], texts[rank[len(own)]]] if own else []
-        names = [None if ids[i] == low else int(ids[i]) for i in own]
-        cols = fn(names, ordered, after)
-        return pa.Table.from_pydict({f.name: pa.array(cols[f.name], _ARROW[f.dataType.typeName()]) for f in schema.fields})
+    def rows_out(ids: list, texts: list, after: list) -> pa.RecordBatch:
+        cols = fn([None if i == low else i for i in ids], texts, after)
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], _ARROW[f.dataType.typeName()]) for f in schema.fields], schema.names)
 
-    return dealt.select("bucket", "guest", "doc_id", "text").groupBy("bucket").applyInArrow(group, schema)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple | None = None  # (bucket, id, text) that has no successor yet
+        for whole in batches:
+            for b in slices(whole, "text", CHUNK_CHARS):
+                ids, texts, after = [], [], []
+                for bucket_, guest, i, text in zip(column(b, "bucket").to_pylist(), column(b, "guest").to_pylist(), column(b, "doc_id").to_pylist(), strings(column(b, "text"))):
+                    if open_ and open_[0] == bucket_:
+                        ids.append(open_[1]), texts.append(open_[2]), after.append(text)
+                    open_ = None if guest else (bucket_, i, text)  # guests come last; the first closes the bucket
+                if ids:
+                    yield rows_out(ids, texts, after)
+
+    parts = dealt.select("bucket", "guest", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
+    return parts.mapInArrow(stream, schema)
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
@@ -207,9 +216,12 @@ _RESULT = T.StructType([T.StructField(k, t) for k, t in (("doc_id", T.LongType()
 def compare_to_edits(docs: DataFrame) -> DataFrame:
     def fn(ids, texts, after):
         changed = [edited(x, y) for x, y in zip(texts, after)]
-        marks = embed([*texts, *after[-1:], *changed])
-        own, other = marks[: len(texts)], marks[len(texts) + 1 :] if texts else []
-        following = marks[1 : len(texts) + 1]
+        apart = [i for i, y in enumerate(after) if i + 1 == len(texts) or y is not texts[i + 1]]
+        marks = embed([*texts, *changed, *(after[i] for i in apart)])
+        own, other = marks[: len(texts)], marks[len(texts) : 2 * len(texts)]
+        following = own[1:] + own[:1]
+        for i, m in zip(apart, marks[2 * len(texts) :]):
+            following[i] = m
         return {
             "doc_id": ids, "n_chars": [len(x) for x in texts], "edited_sha256": [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in changed],
             "fingerprint": [written(*m) for m in own], "edited_fingerprint": [written(*m) for m in other],
@@ -224,8 +236,6 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.common import slices
-
         for whole in batches:
             for b in slices(whole, text, CHUNK_CHARS):
                 marks = [written(*m) for m in embed(strings(column(b, text)))]
