@@ -1,7 +1,7 @@
 """Usage reports over an event log (AGG1-5, AGG13, JN5, FLT3, PRJ3, PRJ8, SCL1-3).
 
 A range of local days becomes a half-open range of UTC times, so the filter reaches the Parquet scan and its statistics; the day itself is
-only computed for rows that pass.
+only computed for rows that pass. Times are UTC: zone-free timestamps, or instants in a session whose time zone is UTC.
 """
 
 from __future__ import annotations
@@ -70,6 +70,11 @@ def source_totals(sources: DataFrame) -> DataFrame:
     return sources.filter("status = 'ready'").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks"))
 
 
+def uploads(sources: DataFrame, first: date, last: date, hours: int = 3) -> DataFrame:
+    """AGG5: ready sources uploaded in the range."""
+    return in_range(sources.filter("status = 'ready'"), first, last, hours, "uploaded_at").agg(F.count(F.lit(1)).alias("uploads"))
+
+
 def summary_rows(total: DataFrame, first: date, last: date) -> DataFrame:
     """PRJ8: the totals as (label, value) rows; a missing average is a dash."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))

@@ -171,11 +171,17 @@ def default_range(spark, d):
 # --- sources and files ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {_SOURCES} select filename, chunks, (row_number() over (order by uploaded_at desc, filename))::int as place from src where status = 'ready'")
+@query("select count(*) as uploads from orders where o_orderstatus = 'F' and o_orderdate >= timestamp '1997-01-31 21:00:00' and o_orderdate < timestamp '1997-06-30 21:00:00'")
+def uploads_in_period(spark, d):
+    """AGG5, FLT3: orders as uploads."""
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("status"), F.col("o_orderdate").alias("uploaded_at"))
+    return reports.uploads(rows, date(1997, 2, 1), date(1997, 6, 30))
+
+
+@query(f"with {_SOURCES} select filename, chunks from src where status = 'ready'")
 def sources_listed(spark, d):
-    """ORD1: ready sources, the newest first; one file of a catalogue, numbered where it is small."""
-    rows = registry.listed(_sources(spark, d).withColumn("id", F.col("filename")), ready_only=True)
-    return rows.groupBy("status").agg(F.array_sort(F.collect_list(F.struct((-F.col("uploaded_at")).alias("t"), "filename", "chunks"))).alias("r")).select(F.posexplode("r").alias("p", "x")).select("x.filename", "x.chunks", (F.col("p") + 1).alias("place"))
+    """ORD1: ready sources, the newest first."""
+    return registry.listed(_sources(spark, d).withColumn("id", F.col("filename")), ready_only=True).select("filename", "chunks")
 
 
 @query("select doc_id, source from documents where source <> 'src2'")

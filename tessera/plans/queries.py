@@ -212,14 +212,13 @@ def hybrid_rank(spark, d):
     return ranking.merged(hits.limit(0), hits, 5).select("query_id", "id", ranking.shown("similarity").alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(rf"""with e as (select 1 as query_id, doc_id as id, 'src' || (doc_id % 3) as key, text, 1.0::double as similarity, doc_id as place, 0 as branch from documents where doc_id % 7 = 0 and doc_id < 200),
-c as (select 1, doc_id, 'src' || (doc_id % 11), text, 0.5, doc_id, 1 from documents where doc_id % 5 = 0 and doc_id < 200), u as (select * from e union all select * from c)
-select query_id, id, key, similarity, (row_number() over (order by branch, place, key))::int as rank from (select * from u qualify row_number() over (partition by key order by branch, place) = 1) qualify rank <= 9""")
+@query("""with u as (select 1 as query_id, doc_id as id, source || '/' || lang as key, 1.0::double as similarity, doc_id as place, 0 as branch from documents where lang = 'en' union all select 1, doc_id, source || '/' || lang, 0.5::double, n_chars, 1 from documents where lang is not null)
+select query_id, id, key, similarity, (row_number() over (order by branch, place, id))::int as rank from (select * from u qualify row_number() over (partition by key order by branch, place, id) = 1) qualify rank <= 40""")
 def branches_merged(spark, d):
-    """SET1, WIN1, FLT14, ORD8."""
-    docs = table(spark, d, "documents").filter("doc_id < 200")
-    row = lambda rows, m, s: rows.select(F.lit(1).alias("query_id"), F.col("doc_id").alias("id"), F.concat(F.lit("src"), F.col("doc_id") % m).alias("key"), "text", F.lit(s).alias("similarity"), F.col("doc_id").alias("place"))
-    return ranking.merged(row(docs.filter("doc_id % 7 = 0"), 3, 1.0), row(docs.filter("doc_id % 5 = 0"), 11, 0.5), 9).select("query_id", "id", "key", "similarity", "rank")
+    """SET1, WIN1, FLT14, ORD8: one text per source and language, exact hits first."""
+    docs = table(spark, d, "documents").filter("lang is not null")
+    row = lambda rows, place, s: rows.select(F.lit(1).alias("query_id"), F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("key"), "text", F.lit(s).alias("similarity"), F.struct(F.col(place).alias("p"), F.col("doc_id").alias("i")).alias("place"))
+    return ranking.merged(row(docs.filter("lang = 'en'"), "doc_id", 1.0), row(docs, "n_chars", 0.5), 40).select("query_id", "id", "key", "similarity", "rank")
 
 
 # --- reports -----------------------------------------------------------------------------------------------------------------
@@ -439,25 +438,25 @@ def dimension_best_match(spark, d):
     return books.matched(table(spark, d, "part"), "p_name", alias, "k", "v", "color").select("p_partkey", "color")
 
 
-@query("select doc_id, source, 'old' as version from documents where source <> 'src3' and doc_id % 2 = 0 union all select doc_id, source, 'new' from documents where source = 'src3'")
+@query("select doc_id, source, case when source = 'src3' then 'new' else 'old' end as version from documents")
 def generation_replaced(spark, d):
     """SNK3, JN14, SNK4."""
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return registry.replace_generation(docs.filter("doc_id % 2 = 0").withColumn("version", F.lit("old")), docs.filter("source = 'src3'").withColumn("version", F.lit("new")))
+    return registry.replace_generation(docs.withColumn("version", F.lit("old")), docs.filter("source = 'src3'").withColumn("version", F.lit("new")))
 
 
 @query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def upsert_latest(spark, d):
     """SNK1, SNK6."""
-    e = table(spark, d, "events").select("user_id", "event_id", "value")
-    return registry.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id"], "event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    return registry.upsert(e.filter("event_type <> 'purchase'"), e.filter("event_type = 'purchase'"), ["user_id"], "event_id").drop("event_type")
 
 
-@query("select doc_id, source from documents where doc_id % 3 <> 0 union select doc_id, 'other' from documents where doc_id % 3 = 0 and doc_id < 100")
+@query("select doc_id, case when lang = 'en' then source else 'other' end as source from documents")
 def insert_ignored(spark, d):
     """SNK6."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return registry.insert_or_ignore(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id < 100").withColumn("source", F.lit("other")), ["doc_id"])
+    docs = table(spark, d, "documents")
+    return registry.insert_or_ignore(docs.filter("lang = 'en'").select("doc_id", "source"), docs.select("doc_id", F.lit("other").alias("source")), ["doc_id"])
 
 
 @query("select count(*) as items, sum(1024 * 8.8::double + 1500 + 3 * strlen(text))::double as bytes from documents")
@@ -561,12 +560,12 @@ def book_titles(spark, d):
     return names.select("name", books.rank("name").alias("rank"), books.title("name").alias("title"))
 
 
-@query("select source || '.json' as file, (row_number() over (partition by source order by doc_id) - 1)::int as pos, doc_id::varchar as id, md5(text) as text_md5, lang as topic from documents")
+@query("select (doc_id // 25) || '.json' as file, (row_number() over (partition by doc_id // 25 order by doc_id) - 1)::int as pos, doc_id::varchar as id, md5(text) as text_md5, lang as topic from documents")
 def json_records(spark, d):
-    """SRC8, SNK10: records written as JSON arrays and read again."""
+    """SRC8, SNK10: records written as JSON arrays of bounded size and read again."""
     docs = table(spark, d, "documents")
     rec = F.struct(F.col("doc_id"), F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("topic"))
-    arrays = docs.groupBy(F.concat("source", F.lit(".json")).alias("file")).agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("text"))
+    arrays = docs.groupBy(F.concat(F.floor(F.col("doc_id") / 25).cast("string"), F.lit(".json")).alias("file")).agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("text"))
     return coll.json_records(arrays).select("file", "pos", "id", F.md5("text").alias("text_md5"), "topic")
 
 
@@ -613,11 +612,13 @@ def reading_votes(spark, d):
     return readings.voted(rows, ["item_id"])
 
 
-@query("select lang as page, string_agg(text, chr(10) || chr(10) order by doc_id) as text, sum(n_chars)::double as cost, bool_or(doc_id % 9 = 0) as fallback, bool_or(doc_id % 2 = 0) as disputed from documents where doc_id % 10 <> 0 and doc_id < 200 group by lang")
+@query("""with l as (select doc_id as page, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+select page, coalesce(string_agg(t, chr(10) || chr(10) order by i) filter (t <> ''), '') as text, sum(length(t))::double as cost, bool_or(contains(t, '!')) as fallback, bool_or(contains(t, '$')) as disputed from l where length(t) > 3 group by page""")
 def page_results(spark, d):
-    """AGG15, TXT21."""
-    r = table(spark, d, "documents").filter("doc_id < 200").select(F.col("lang").alias("page"), F.col("doc_id").alias("region"), "text", F.col("n_chars").cast("double").alias("cost"), (F.col("doc_id") % 9 == 0).alias("fallback"), (F.col("doc_id") % 2 == 0).alias("disputed"), F.when(F.col("doc_id") % 10 == 0, 0.0).otherwise(0.1).alias("ink"))
-    return readings.pages(r)
+    """AGG15, TXT21: a document's lines as regions of a page; short ones count as blank."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("region", "text"))
+    ink = F.when(F.length("text") > 3, 0.1).otherwise(0.0)
+    return readings.pages(lines.withColumns({"ink": ink, "cost": F.length("text").cast("double"), "fallback": F.contains("text", F.lit("!")), "disputed": F.contains("text", F.lit("$"))}))
 
 
 @query("""with t as (select doc_id, n_chars, doc_id % 50 = 0 as d from documents) select count(*) as pages, sum(n_chars)::double as cost, (select string_agg(doc_id::varchar, '، ' order by doc_id) from (select doc_id from t where d order by doc_id limit 30)) || case when count(*) filter (d) > 30 then ' و' || (count(*) filter (d) - 30) || ' غيرها' else '' end as disputed_pages, '' as fallback_pages from t""")

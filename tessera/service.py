@@ -29,10 +29,12 @@ EVENTS = "type string, visitor_hash string, query string, result string, latency
 
 
 class Library:
-    """make: builds an embedder per task (EMB1); dim: its dimension; salt: of visitors' hashes."""
+    """make: builds an embedder per task (EMB1); dim: its dimension; salt: of visitors' hashes; instructions: put before queries and before
+    titles searched for, for models that take them (EMB4; see operators.vectors)."""
 
-    def __init__(self, spark: SparkSession, path: str, make: Callable[[], vectors.Embedder] = vectors.bag_of_characters, dim: int = 64, salt: str = "salt"):
+    def __init__(self, spark: SparkSession, path: str, make: Callable[[], vectors.Embedder] = vectors.bag_of_characters, dim: int = 64, salt: str = "salt", query_instruction: str = "", title_instruction: str = ""):
         self.spark, self.path, self.make, self.dim, self.salt = ready(spark), path.rstrip("/"), make, dim, salt
+        self.query_instruction, self.title_instruction = query_instruction, title_instruction
         self.tables = {name: registry.Versions(spark, f"{self.path}/{name}") for name in ("items", "passages", "sources")}
 
     def read(self, name: str) -> DataFrame:
@@ -131,7 +133,7 @@ class Library:
         queries = queries.select("query_id", "query").filter(~tx.blank(tx.clean("query")) & (F.length("query") <= 2000))
         items, texts = self.read("items"), self.read("passages")
         exact = quotes.quotes(queries, texts).join(texts.select("rowid", F.col("item_id").alias("id")), "rowid").select("query_id", "rowid", "id", F.lit(1.0).alias("similarity"))
-        q = vectors.embed(queries.select("query_id", tx.clean("query").alias("query")), "query", "vec", self.make, instruction="").select("query_id", "vec")
+        q = vectors.embed(queries.select("query_id", tx.clean("query").alias("query")), "query", "vec", self.make, instruction=self.query_instruction).select("query_id", "vec")
         k = ranking.pool(top_k, subject=True, by_title=by_title)
         close = vectors.nearest(q, items, k).select("query_id", "id", "similarity", "pos")
         plain = ranking.pool(top_k, subject=False)
@@ -159,7 +161,7 @@ class Library:
         """VEC5: query_id, topic, closeness, for the topics of the candidates."""
         topics = close.select(F.col("metadata.topic").alias("topic")).distinct().filter(~tx.blank("topic") & tx.names_a_subject("topic"))
         titles = vectors.embed(topics.withColumn("clean", tx.clean("topic")), "clean", "vec", self.make)
-        q = vectors.embed(queries.select("query_id", tx.clean("query").alias("query")), "query", "qvec", self.make).select("query_id", "qvec")
+        q = vectors.embed(queries.select("query_id", tx.clean("query").alias("query")), "query", "qvec", self.make, instruction=self.title_instruction).select("query_id", "qvec")
         pairs = close.select("query_id", F.col("metadata.topic").alias("topic")).distinct().join(titles, "topic").join(q, "query_id")
         return pairs.select("query_id", "topic", vectors.dot("vec", "qvec").alias("closeness"))
 
@@ -189,7 +191,7 @@ class Library:
         rows = reports.in_range(self.events(), first, last, hours)
         return {
             "totals": reports.totals(rows), "daily": reports.calendar(reports.daily(rows, hours), first, last), "searches": reports.top_queries(rows, "search"),
-            "questions": reports.top_queries(rows, "chat"), "outcomes": reports.outcomes(rows), "sources": reports.source_totals(self.read("sources")),
+            "questions": reports.top_queries(rows, "chat"), "outcomes": reports.outcomes(rows), "sources": reports.source_totals(self.read("sources")), "uploads": reports.uploads(self.read("sources"), first, last, hours),
         }
 
 
