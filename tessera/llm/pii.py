@@ -3,9 +3,9 @@
 A surrogate comes from a keyed permutation of the set of all strings that share the entity's type and shape (digits stay digits, letters
 keep script and case, separators stay). A permutation maps different entities to different surrogates and the same entity to the same
 surrogate, in every document and every task, without any exchange between tasks: distinctness and coreference hold across the corpus,
-with no table of entities to gather. Permutations walk on past a value that equals the entity itself. In each document the result is
-checked: no surrogate may equal another entity of that document, and different entities must have different surrogates; an entity that
-fails is permuted again with a counter (this can only part its mentions in that document from other documents').
+with no table of entities to gather. In each document the result is checked: no surrogate may equal an entity of that document (itself
+included), and different entities must have different surrogates; an entity that fails is permuted again with a counter (where another
+entity was in the way, this parts its mentions in that document from those in others).
 
 Types: e-mail addresses, IPv4 addresses, payment card numbers (check digit kept valid or invalid as it was), phone numbers, national ids
 (ddd-dd-dddd), IBAN-like account numbers, access keys, secrets in assignments (token, password, key), long hexadecimal strings, and
@@ -241,15 +241,14 @@ def _valid_ip(value: str) -> bool:
 
 
 def surrogate(e: Entity, key: str = KEY, turn: int = 0) -> str:
-    """The surrogate of e. A permutation is walked on while it stands on the entity itself, or, for addresses outside the ordinary
-    ranges, inside them; walking keeps different entities apart."""
+    """The surrogate of e; turn picks another permutation. For addresses outside the ordinary ranges the permutation is walked on while it
+    stands inside them, which keeps different entities apart."""
     k, value = f"{key}#{turn}" if turn else key, e.value
     for _ in range(64):
         value = _once(e, value, k)
         if e.type == "ip" and not _valid_ip(e.value) and _valid_ip(value):
             continue
-        if value.lower() != e.value.lower():
-            break
+        break
     if e.type == "email" and e.value.upper() == e.value:
         value = value.upper()
     return value
