@@ -20,7 +20,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ LENGTH = 2048
 #: Bytes of text in a group, on average.
 GROUP_BYTES = 16 << 20
 SEED = 7
-#: Words kept per process, and the longest word that is kept.
-TABLE_WORDS, TABLE_CHARS = 250_000, 48
+#: Words kept per process, and the longest word that is kept; bytes of text for which other words are kept.
+TABLE_WORDS, TABLE_CHARS, BATCH_BYTES = 500_000, 48, 1 << 20
 
 
 #: The tokenizer's split pattern, and the words whose normal form is their lower case.
@@ -74,7 +73,11 @@ class Words(dict):
         self.rest: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        return self.rest[word]
+        found = self.rest.get(word)
+        if found is None:
+            found = self.word(word)
+            (self if len(self) < TABLE_WORDS and len(word) <= TABLE_CHARS else self.rest)[word] = found
+        return found
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
@@ -97,11 +100,6 @@ class Words(dict):
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
-    def learn(self, new: list[str]) -> None:
-        self.rest = {}
-        for w in new:
-            (self if len(self) < TABLE_WORDS and len(w) <= TABLE_CHARS else self.rest)[w] = self.word(w)
-
 
 @lru_cache(2)
 def table(path: str | None) -> Words:
@@ -111,10 +109,9 @@ def table(path: str | None) -> Words:
 def encode_texts(texts: list[str], path: str | None = None) -> list[bytes]:
     """Ids of each text with the end id, packed in the table's dtype."""
     t = table(path)
-    split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-    t.learn([w for w in set(chain.from_iterable(split)) if w not in t])
+    t.rest.clear()
     end = np.array([END_ID], t.dtype).tobytes()
-    return [b"".join(map(t.__getitem__, x)) + end for x in split]
+    return [b"".join(map(t.__getitem__, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + end for x in texts]
 
 
 class Tournament:
@@ -208,7 +205,7 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", BATCH_BYTES):
                 ids = pa.array(encode_texts(strings(column(b, "text")), path), pa.binary())
                 yield pa.RecordBatch.from_arrays([column(b, "part"), column(b, "doc_id"), ids], ["part", "doc_id", "ids"])
 
