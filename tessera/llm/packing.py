@@ -37,7 +37,7 @@ LENGTH = 2048
 GROUP_BYTES = 16 << 20
 SEED = 7
 #: Words kept per process, and the longest word that is kept; bytes of text for which other words are kept.
-TABLE_WORDS, TABLE_CHARS, BATCH_BYTES = 500_000, 48, 1 << 20
+TABLE_WORDS, TABLE_CHARS, BATCH_BYTES = 200_000, 48, 1 << 20
 
 
 #: The tokenizer's split pattern, and the words whose normal form is their lower case.
