@@ -5,7 +5,9 @@
    other minima in an order of the tree's own, so neighbours are those with the longest common prefix. Up to REACH neighbours on either
    side that share the prefix are compared by all their four-bit minima: in a sparse region that is the whole region; in a dense one,
    the order itself goes deeper until the neighbourhood is that small (adaptive depth). Pairs that look at least LOOSE alike join; a
-   task keeps a spanning forest, so it hands on at most as many edges as it has nodes.
+   task keeps a spanning forest, so it hands on at most as many edges as it has nodes. A group that shares a prefix and touches an edge of
+   its partition is open: its rows meet again, all pairs of different families, in blocks of about CROWD rows of which each two meet. So
+   results depend neither on the number of partitions nor on the size of the table.
 3. Components of these edges are families. A family's texts meet in one task, or, above FAMILY shingles, in blocks of which each two meet.
    There, pairs that look at least LOOSE alike and are not yet connected are confirmed on their full sets, most alike first. No pair
    leaves a task but the edges of the forest of confirmed links.
@@ -36,6 +38,8 @@ WORDS = 5
 PERCENT = 85
 TREES, DEPTH, HASHES = 20, 5, 128
 REACH = 32
+#: Rows of a block of an open group.
+CROWD = 2048
 #: Estimated similarity from which on a pair is looked at closely: 4.5 standard errors below the threshold.
 LOOSE = 0.70
 _LEAST = int(np.ceil(HASHES * (LOOSE + (1 - LOOSE) / 16)))  # of four-bit minima that agree
@@ -123,15 +127,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _AGREE[a ^ b].sum(1, dtype=np.int64)
 
 
+_FOUND = "a long, b long, tree int, prefix long, turned binary"
+
+
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Edges a, b of a spanning forest, per partition, of the pairs within REACH that share tree and prefix and look alike."""
+    """Edges a, b of a spanning forest, per partition, of the pairs within REACH that share tree and prefix and look alike. Also, with the
+    node as a and a null b, the rows of open groups: those at an edge of the partition, which may go on in another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), None
+        forest, held, tail, last, going = Forest(), None, None, None, True  # going: the last group is open, its rows are handed on
         for b in batches:
+            if not b.num_rows:
+                continue
             key = np.column_stack([column(b, "tree").to_numpy().astype(np.int64), column(b, "prefix").to_numpy()])
             node = column(b, "node").to_numpy()
             sketch = raw(column(b, "turned"))[0].reshape(len(node), -1)
+            k, n, t = (np.concatenate(x) for x in zip(tail, (key, node, sketch))) if tail else (key, node, sketch)
+            start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
+            size = np.diff(np.append(start, len(n)))
+            wide = np.zeros(len(size), bool)
+            wide[0] |= going and (last is None or bool((last == k[0]).all()))
+            yield _opened(*(x[np.repeat(wide, size)] for x in (k, n, t)))
+            last, going = key[-1].copy(), bool(wide[-1])
+            tail = None if going else tuple(x[start[-1] :].copy() for x in (k, n, t))
             fresh = 0
             if held:
                 fresh = len(held[1])
@@ -145,9 +163,75 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
                 for x, y in zip(node[at].tolist(), node[at + lag].tolist()):
                     forest.join(x, y)
             held = key[-REACH:].copy(), node[-REACH:].copy(), sketch[-REACH:].copy()
-        yield forest.stars()
+        if tail:
+            yield _opened(*tail)
+        stars = forest.stars()
+        none = [pa.nulls(stars.num_rows, x) for x in (pa.int32(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*stars.columns, *none], ["a", "b", "tree", "prefix", "turned"])
+
+    return sorted_rows.select("tree", "prefix", "turned", "node").mapInArrow(run, _FOUND)
+
+
+def _opened(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    turned = packed(sketch.ravel(), np.arange(len(node) + 1) * sketch.shape[1], "u1")
+    cols = [pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key[:, 0].astype(np.int32)), pa.array(key[:, 1]), turned]
+    return pa.RecordBatch.from_arrays(cols, ["a", "b", "tree", "prefix", "turned"])
+
+
+def meet(family: np.ndarray, sketch: np.ndarray, node: np.ndarray, side: np.ndarray, forest: Forest, least: int = _LEAST) -> None:
+    """Joins all pairs of different families that look alike; with two blocks at hand (side 0 and 1), those between the blocks."""
+    across = bool(side.any())
+    order = np.argsort(family, kind="stable")
+    family, node, side = family[order], node[order], side[order]
+    lanes = np.ascontiguousarray(np.ascontiguousarray(sketch[order]).view(U64).T)
+    ones = U64(0x1111111111111111)
+    own = np.flatnonzero(side == 0)
+    other = np.flatnonzero(side == 1) if across else own
+    for f in np.unique(family[own]).tolist():
+        left = own[family[own] == f]
+        right = other[family[other] != f] if across else other[family[other] > f]
+        if not len(right):
+            continue
+        step = max(1, (1 << 17) // len(right))
+        for at in range(0, len(left), step):
+            i = left[at : at + step]
+            apart = np.zeros((len(i), len(right)), np.uint8)
+            for lane in lanes:
+                x = lane[i][:, None] ^ lane[right][None, :]
+                x |= x >> U64(1)
+                x |= x >> U64(2)
+                apart += np.bitwise_count(x & ones)
+            u, v = np.nonzero(apart <= HASHES - least)
+            for x, y in zip(node[i[u]].tolist(), node[right[v]].tolist()):
+                forest.join(x, y)
+
+
+def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """a long, b long: every node that is not the smallest of its family, and the smallest. order: tree, prefix, turned, node. Every two nodes
+    that share a prefix and look alike are in one family: what neighbours cannot settle meets in blocks of about `crowd` rows."""
+    parts = max(1, int(order.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = scratch.keep(neighbours(order.repartitionByRange(parts, "tree", "prefix", "turned").sortWithinPartitions("tree", "prefix", "turned")))
+    scratch.release()
+    stars = components(found.filter("b is not null").select("a", "b"), scratch)
+    rows = found.filter("b is null").select("tree", "prefix", "turned", F.col("a").alias("node"))
+    rows = rows.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("family", F.coalesce("root", "node"))
+    groups = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
+    groups = groups.filter("low < high").select("tree", "prefix", F.ceil(F.col("n") / crowd).alias("blocks"))
+    dealt = rows.join(groups, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "prefix", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "family", "node", "turned")
 
-    return sorted_rows.select("tree", "prefix", "turned", "node").mapInArrow(run, "a long, b long")
+    def group(got: pa.Table) -> pa.Table:
+        got = got.combine_chunks()
+        node, family, left = got["node"].to_numpy(), got["family"].to_numpy(), got["left"].to_numpy()
+        sketch = raw(got["turned"].combine_chunks() if isinstance(got["turned"], pa.ChunkedArray) else got["turned"])[0].reshape(len(node), -1)
+        forest = Forest()
+        meet(family, sketch, node, (got["block"].to_numpy() != left).astype(np.int8), forest)
+        return pa.Table.from_batches([forest.stars()])
+
+    more = scratch.keep(dealt.groupBy("tree", "prefix", "left", "right").applyInArrow(group, "a long, b long"))
+    scratch.release()
+    return components(stars.union(more), scratch) if more.limit(1).count() else stars
 
 
 def linked(a: set, b: set, percent: int = PERCENT) -> bool:
@@ -224,9 +308,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family:
         nodes.select("node", "prefixes", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("tree", F.conv(F.hex(F.expr("substring(prefixes, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), F.concat(F.expr(f"substring(sketch, (tree * 3) % {half} + 1)"), F.expr(f"substring(sketch, 1, (tree * 3) % {half})")).alias("turned"), "node")
     )
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = neighbours(order.repartitionByRange(parts, "tree", "prefix", "turned").sortWithinPartitions("tree", "prefix", "turned"))
-    stars = components(edges, scratch)
+    stars = candidates(order, scratch)
     scratch.release()
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("family")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
     member = scratch.keep(member.join(nodes, "node").select("family", "node", "id", "n", "sketch"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from compare import difference
+from llm_data import prose
 
 from tessera.llm import components, exact_dedup, near_dedup, queries, substring_dedup
 from tessera.llm.common import Scratch
@@ -110,6 +111,19 @@ def test_near_on_edge_rows(edge, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
 
 
+@pytest.mark.parametrize("parts", [3, 200])
+def test_near_does_not_depend_on_partitions(spark, parts):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        texts = {i: " ".join(f"new{i}" if i % 2 and k in (50, 150, 250) else w for k, w in enumerate(prose(40 + i // 2, 300).split())) for i in range(6)}
+        want = brute_groups(texts)
+        assert [want[i][1] for i in range(6)] == [0, 0, 2, 2, 4, 4]
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(as_frame(spark, texts)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_components(spark, tmp_path):
     r = random.Random(4)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2300)] + [(5, 5)]
