@@ -3,18 +3,19 @@
 1. Each text becomes the set of its distinct word shingles and a signature of HASHES minima. Equal sets are one node from here on.
 2. Forest: TREES sorted orders. In each, nodes are range-partitioned and sorted by a prefix of DEPTH minima and then by four bits of all
    other minima in an order of the tree's own, so neighbours are those with the longest common prefix. Up to REACH neighbours on either
-   side that share the prefix are compared by all their four-bit minima: in a sparse region that is the whole region; in a dense one,
-   the order itself goes deeper until the neighbourhood is that small (adaptive depth). Pairs that look at least LOOSE alike join; a
-   task keeps a spanning forest, so it hands on at most as many edges as it has nodes. A group that shares a prefix and touches an edge of
-   its partition is open: its rows meet again, all pairs of different families, in blocks of about CROWD rows of which each two meet. So
-   results depend neither on the number of partitions nor on the size of the table.
+   side that share the prefix are compared by all their four-bit minima: in a sparse region that is the whole region. Pairs that look at
+   least LOOSE alike join; a task keeps a spanning forest, so it hands on at most as many edges as it has nodes. A group that shares a prefix
+   and has more than REACH + 1 rows, or touches an edge of its partition, is open: its rows meet again, all pairs of different families
+   (components of the edges so far), in blocks of about CROWD rows of which each two meet. So every two nodes that share a prefix and look
+   alike are in one family, however dense the region, and whatever the number of partitions.
 3. Components of these edges are families. A family's texts meet in one task, or, above FAMILY shingles, in blocks of which each two meet.
    There, pairs that look at least LOOSE alike and are not yet connected are confirmed on their full sets, most alike first. No pair
    leaves a task but the edges of the forest of confirmed links.
 4. Components of confirmed links are the groups.
 
 A pair at the threshold shares a prefix in no tree with probability (1 - 0.85 ** 5) ** 20 < 1e-5, and looks less than LOOSE alike with
-about the same.
+about the same; nothing else is missed, in dense regions too. The price is a comparison of sketches, in each tree, of all pairs of an open group
+that are not in one family: the square of the group's number of rows.
 
 Defined results. Null or empty text, or no words: an empty set, linked with nothing, kept. Fewer words than WORDS: the whole sequence is the one
 shingle. Empty table: no rows. Repeated rows and rows of equal doc_id are one row each, and all rows that carry the smallest doc_id of a
@@ -132,7 +133,8 @@ _FOUND = "a long, b long, tree int, prefix long, turned binary"
 
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
     """Edges a, b of a spanning forest, per partition, of the pairs within REACH that share tree and prefix and look alike. Also, with the
-    node as a and a null b, the rows of open groups: those at an edge of the partition, which may go on in another one."""
+    node as a and a null b, the rows of open groups: those of more than REACH + 1 rows, and those at an edge of the partition, which may go on in
+    another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, tail, last, going = Forest(), None, None, None, True  # going: the last group is open, its rows are handed on
@@ -145,7 +147,7 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
             k, n, t = (np.concatenate(x) for x in zip(tail, (key, node, sketch))) if tail else (key, node, sketch)
             start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)]))
             size = np.diff(np.append(start, len(n)))
-            wide = np.zeros(len(size), bool)
+            wide = size > REACH + 1
             wide[0] |= going and (last is None or bool((last == k[0]).all()))
             yield _opened(*(x[np.repeat(wide, size)] for x in (k, n, t)))
             last, going = key[-1].copy(), bool(wide[-1])

@@ -111,6 +111,26 @@ def test_near_on_edge_rows(edge, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
 
 
+@pytest.mark.parametrize("crowd", [2048, 100])
+def test_near_in_a_crowded_prefix(spark, crowd):
+    """Nodes 0 and 1 look alike but sort to the two ends of 400 unlike nodes of their prefix; another prefix lies on either side."""
+    sketch = np.random.default_rng(8).integers(17, 238, (400, 64)).astype(np.uint8)
+    sketch[1] = sketch[0]
+    sketch[0, :2], sketch[1, :2] = 0, 255
+    rows = [(0, 5, bytearray(x.tobytes()), i) for i, x in enumerate(sketch)] + [(0, p, bytearray(sketch[9].tobytes()), 1000 + p) for p in range(10) if p != 5]
+    order = spark.createDataFrame(rows, "tree int, prefix long, turned binary, node long")
+    in_order = order.repartitionByRange(1, "tree").sortWithinPartitions("tree", "prefix", "turned")
+    assert near_dedup.neighbours(in_order).filter("b is not null").count() == 0
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (1, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = near_dedup.candidates(order, Scratch(spark, "t"), crowd).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
+        assert [(r.a, r.b) for r in got] == [(1, 0)]
+
+
 @pytest.mark.parametrize("parts", [3, 200])
 def test_near_does_not_depend_on_partitions(spark, parts):
     was = spark.conf.get("spark.sql.shuffle.partitions")
