@@ -1,19 +1,19 @@
 """MinHash near-dedup with an LSH forest.
 
 1. Each text becomes the set of its distinct word shingles and a signature of HASHES minima. Equal sets are one node from here on.
-2. Forest: TREES sorted orders. In each, nodes are range-partitioned and sorted by a prefix of DEPTH minima and then by four bits of all
+2. Forest: TREES sorted orders. In each, nodes are range-partitioned and sorted by a prefix of depth() minima and then by four bits of all
    other minima in an order of the tree's own, so neighbours are those with the longest common prefix. Up to REACH neighbours on either
    side that share the prefix are compared by all their four-bit minima: in a sparse region that is the whole region. Pairs that look at
-   least LOOSE alike join; a task keeps a spanning forest, so it hands on at most as many edges as it has nodes. A group that shares a prefix
+   least loose() alike join; a task keeps a spanning forest, so it hands on at most as many edges as it has nodes. A group that shares a prefix
    and has more than REACH + 1 rows, or touches an edge of its partition, is open: its rows meet again, all pairs of different families
    (components of the edges so far), in blocks of about CROWD rows of which each two meet. So every two nodes that share a prefix and look
    alike are in one family, however dense the region, and whatever the number of partitions.
 3. Components of these edges are families. A family's texts meet in one task, or, above FAMILY shingles, in blocks of which each two meet.
-   There, pairs that look at least LOOSE alike and are not yet connected are confirmed on their full sets, most alike first. No pair
+   There, pairs that look at least loose() alike and are not yet connected are confirmed on their full sets, most alike first. No pair
    leaves a task but the edges of the forest of confirmed links.
 4. Components of confirmed links are the groups.
 
-A pair at the threshold shares a prefix in no tree with probability (1 - 0.85 ** 5) ** 20 < 1e-5, and looks less than LOOSE alike with
+A pair at the threshold shares a prefix in no tree with probability (1 - 0.85 ** 5) ** 20 < 1e-5, and looks less than loose() alike with
 about the same; nothing else is missed, in dense regions too. The price is a comparison of sketches, in each tree, of all pairs of an open group
 that are not in one family: the square of the group's number of rows.
 
@@ -35,15 +35,26 @@ from tessera.llm.common import U64, Scratch, column, load, mix, owner, packed, r
 from tessera.llm.components import Forest, components
 
 WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= PERCENT * union, unless a caller gives another percentage.
 PERCENT = 85
-TREES, DEPTH, HASHES = 20, 5, 128
+TREES, HASHES = 20, 128
 REACH = 32
 #: Rows of a block of an open group.
 CROWD = 2048
-#: Estimated similarity from which on a pair is looked at closely: 4.5 standard errors below the threshold.
-LOOSE = 0.70
-_LEAST = int(np.ceil(HASHES * (LOOSE + (1 - LOOSE) / 16)))  # of four-bit minima that agree
+
+
+def depth(percent: int) -> int:
+    """Minima in a prefix: as many as leave a pair at the threshold without a common prefix with probability below 1e-5."""
+    return max(d for d in range(1, HASHES // TREES + 1) if d == 1 or (1 - (percent / 100) ** d) ** TREES < 1e-5)
+
+
+def loose(percent: int) -> int:
+    """Four-bit minima that must agree for a closer look: an estimated similarity 4.5 standard errors below the threshold, in whole percent."""
+    p = percent / 100
+    low = max(0, int(100 * (p - 4.5 * (p * (1 - p) / HASHES) ** 0.5))) / 100
+    return int(np.ceil(HASHES * (low + (1 - low) / 16)))
+
+
 #: Shingles of a block of a family.
 FAMILY = 500_000
 _A = np.random.default_rng(31337).integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -78,7 +89,7 @@ def set_hash(s: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(s.copy()), first)).view(np.int64) if len(first) else np.empty(0, np.int64)
 
 
-def signatures(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, bounds: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(set hash, prefixes [text, tree], sketch [text, HASHES / 2 bytes]) of the non-empty sets, and which texts those are."""
     some = np.flatnonzero(np.diff(bounds))
     first = bounds[some]
@@ -89,21 +100,21 @@ def signatures(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     prefix = np.empty((len(some), TREES), U64)
     for t in range(TREES):
         x = np.zeros(len(some), U64)
-        for m in minima[t * DEPTH : (t + 1) * DEPTH]:
+        for m in minima[t * deep : (t + 1) * deep]:
             x = mix((x ^ m) * U64(0x9E3779B97F4A7C15) + U64(1))
         prefix[:, t] = x
     low = (minima & 15).astype(np.uint8)
     return node, prefix, np.ascontiguousarray((low[0::2] << 4 | low[1::2]).T), some
 
 
-def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set; null if empty), prefixes and sketch (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 s, bounds = shingles(*raw(column(b, "text")))
-                node, prefix, sketch, some = signatures(s, bounds)
+                node, prefix, sketch, some = signatures(s, bounds, depth(percent))
                 n, place = b.num_rows, np.full(b.num_rows, -1)
                 place[some] = np.arange(len(some))
                 none = place < 0
@@ -131,7 +142,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _FOUND = "a long, b long, tree int, prefix long, turned binary"
 
 
-def neighbours(sorted_rows: DataFrame) -> DataFrame:
+def neighbours(sorted_rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges a, b of a spanning forest, per partition, of the pairs within REACH that share tree and prefix and look alike. Also, with the
     node as a and a null b, the rows of open groups: those of more than REACH + 1 rows, and those at an edge of the partition, which may go on in
     another one."""
@@ -161,7 +172,7 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
                 at = at[at + lag >= fresh]
                 if not len(at):
                     break
-                at = at[alike(sketch[at], sketch[at + lag]) >= _LEAST]
+                at = at[alike(sketch[at], sketch[at + lag]) >= loose(percent)]
                 for x, y in zip(node[at].tolist(), node[at + lag].tolist()):
                     forest.join(x, y)
             held = key[-REACH:].copy(), node[-REACH:].copy(), sketch[-REACH:].copy()
@@ -180,7 +191,7 @@ def _opened(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays(cols, ["a", "b", "tree", "prefix", "turned"])
 
 
-def meet(family: np.ndarray, sketch: np.ndarray, node: np.ndarray, side: np.ndarray, forest: Forest, least: int = _LEAST) -> None:
+def meet(family: np.ndarray, sketch: np.ndarray, node: np.ndarray, side: np.ndarray, forest: Forest, least: int) -> None:
     """Joins all pairs of different families that look alike; with two blocks at hand (side 0 and 1), those between the blocks."""
     across = bool(side.any())
     order = np.argsort(family, kind="stable")
@@ -208,11 +219,11 @@ def meet(family: np.ndarray, sketch: np.ndarray, node: np.ndarray, side: np.ndar
                 forest.join(x, y)
 
 
-def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD, percent: int = PERCENT) -> DataFrame:
     """a long, b long: every node that is not the smallest of its family, and the smallest. order: tree, prefix, turned, node. Every two nodes
     that share a prefix and look alike are in one family: what neighbours cannot settle meets in blocks of about `crowd` rows."""
     parts = max(1, int(order.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = scratch.keep(neighbours(order.repartitionByRange(parts, "tree", "prefix", "turned").sortWithinPartitions("tree", "prefix", "turned")))
+    found = scratch.keep(neighbours(order.repartitionByRange(parts, "tree", "prefix", "turned").sortWithinPartitions("tree", "prefix", "turned"), percent))
     scratch.release()
     stars = components(found.filter("b is not null").select("a", "b"), scratch)
     rows = found.filter("b is null").select("tree", "prefix", "turned", F.col("a").alias("node"))
@@ -228,7 +239,7 @@ def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFr
         node, family, left = got["node"].to_numpy(), got["family"].to_numpy(), got["left"].to_numpy()
         sketch = raw(got["turned"].combine_chunks() if isinstance(got["turned"], pa.ChunkedArray) else got["turned"])[0].reshape(len(node), -1)
         forest = Forest()
-        meet(family, sketch, node, (got["block"].to_numpy() != left).astype(np.int8), forest)
+        meet(family, sketch, node, (got["block"].to_numpy() != left).astype(np.int8), forest, loose(percent))
         return pa.Table.from_batches([forest.stars()])
 
     more = scratch.keep(dealt.groupBy("tree", "prefix", "left", "right").applyInArrow(group, "a long, b long"))
@@ -243,10 +254,10 @@ def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(nodes: list[int], sketch: np.ndarray, sets: list[set], side: np.ndarray, forest: Forest, least: int = _LEAST) -> None:
+def confirm(nodes: list[int], sketch: np.ndarray, sets: list[set], side: np.ndarray, forest: Forest, percent: int = PERCENT) -> None:
     """Joins the nodes that confirmed links connect. side: with two blocks at hand, only pairs between them are looked at (0 and 1);
     with one, all (0)."""
-    across = bool(side.any())
+    across, least = bool(side.any()), loose(percent)
     size = np.array([len(x) for x in sets])
     rows = np.flatnonzero(side == 0)
     step = max(1, (1 << 22) // max(1, len(nodes) * sketch.shape[1]))
@@ -259,23 +270,23 @@ def confirm(nodes: list[int], sketch: np.ndarray, sets: list[set], side: np.ndar
         if not across:
             x, y = x[i[x] < other[y]], y[i[x] < other[y]]
         big, small = np.maximum(size[i[x]], size[other[y]]), np.minimum(size[i[x]], size[other[y]])
-        fits = 100 * small >= PERCENT * big
+        fits = 100 * small >= percent * big
         a.append(i[x][fits]), b.append(other[y][fits]), n.append(agree[x, y][fits])
         # a block's pairs are judged at once, most alike first, so memory does not grow with the pairs of a family
-        _judge(np.concatenate(a), np.concatenate(b), np.concatenate(n), nodes, sets, forest)
+        _judge(np.concatenate(a), np.concatenate(b), np.concatenate(n), nodes, sets, forest, percent)
         a, b, n = [], [], []
 
 
-def _judge(a: np.ndarray, b: np.ndarray, n: np.ndarray, nodes: list[int], sets: list[set], forest: Forest) -> None:
+def _judge(a: np.ndarray, b: np.ndarray, n: np.ndarray, nodes: list[int], sets: list[set], forest: Forest, percent: int) -> None:
     order = np.argsort(-n, kind="stable")
     for at in range(0, len(order), 2048):
         some = order[at : at + 2048]
         for i, j in zip(a[some].tolist(), b[some].tolist()):
-            if forest.root(nodes[i]) != forest.root(nodes[j]) and linked(sets[i], sets[j]):
+            if forest.root(nodes[i]) != forest.root(nodes[j]) and linked(sets[i], sets[j], percent):
                 forest.join(nodes[i], nodes[j])
 
 
-def families(members: DataFrame) -> DataFrame:
+def families(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """members: family, left and right (block numbers), block, node, sketch, text. a, b: forests of confirmed links."""
 
     def group(got: pa.Table) -> pa.Table:
@@ -291,17 +302,17 @@ def families(members: DataFrame) -> DataFrame:
         ok = np.array([i for i, x in enumerate(sets) if len(x) and int(set_hash(x, np.zeros(1, np.int64))[0]) == nodes[i]], np.int64)
         sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(nodes), -1)
         forest = Forest()
-        confirm([nodes[i] for i in ok], sketch[ok], [set(sets[i].tolist()) for i in ok], side[ok], forest)
+        confirm([nodes[i] for i in ok], sketch[ok], [set(sets[i].tolist()) for i in ok], side[ok], forest, percent)
         return pa.Table.from_batches([forest.stars()])
 
     return members.groupBy("family", "left", "right").applyInArrow(group, "a long, b long")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family: int = FAMILY) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family: int = FAMILY, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = sketched(docs, doc_id, text)
+    rows = sketched(docs, doc_id, text, percent)
     rows = scratch.keep(rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("prefixes").alias("prefixes"), F.max("sketch").alias("sketch"))
     nodes = scratch.keep(nodes)
@@ -310,7 +321,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family:
         nodes.select("node", "prefixes", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("tree", F.conv(F.hex(F.expr("substring(prefixes, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), F.concat(F.expr(f"substring(sketch, (tree * 3) % {half} + 1)"), F.expr(f"substring(sketch, 1, (tree * 3) % {half})")).alias("turned"), "node")
     )
-    stars = candidates(order, scratch)
+    stars = candidates(order, scratch, percent=percent)
     scratch.release()
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("family")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
     member = scratch.keep(member.join(nodes, "node").select("family", "node", "id", "n", "sketch"))
@@ -320,7 +331,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family:
     texts = texts.join(dealt, "id")
     meet = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = meet.select("family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "sketch", "text")
-    links = scratch.keep(families(meet))
+    links = scratch.keep(families(meet, percent))
     scratch.release()
     if blocks.filter("blocks > 1").limit(1).count():
         links = components(links, scratch)
@@ -334,9 +345,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without those of a group whose doc_id is not its smallest. Rows of equal doc_id go or stay together."""
-    gone = groups(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = groups(docs, doc_id, text, percent=percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs[doc_id].cast("long") == F.col("gone"), "left_anti")
 
 

@@ -111,6 +111,16 @@ def test_near_on_edge_rows(edge, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.kept)
 
 
+def test_near_at_another_threshold(spark):
+    """A pair of similarity 0.818: linked at 80 percent, not at 85."""
+    base = [f"w{i}" for i in range(204)]
+    other = [f"v{i}" if i in (50, 90, 130, 170) else w for i, w in enumerate(base)]
+    docs = as_frame(spark, {1: " ".join(base), 2: " ".join(other)} | {k: " ".join(f"t{k}x{i}" for i in range(50)) for k in range(3, 9)})
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, percent=80).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    assert near_dedup.keep_one(docs).count() == 8
+    assert [near_dedup.depth(x) for x in (80, 85)] == [3, 5] and near_dedup.loose(85) == 92
+
+
 @pytest.mark.parametrize("crowd", [2048, 100])
 def test_near_in_a_crowded_prefix(spark, crowd):
     """Nodes 0 and 1 look alike but sort to the two ends of 400 unlike nodes of their prefix; another prefix lies on either side."""
