@@ -12,6 +12,8 @@ Types: e-mail addresses, IPv4 addresses, payment card numbers (check digit kept
 person names after a title (gender from the title; known given names map to given names of the same gender, others keep their
 script, case, vowel pattern and ending).
 
+E-mail addresses, keys, hexadecimal strings and secrets are replaced whole, whatever their length.
+
 Defined results. Null text: null, no entities. Empty text: empty. Empty table: no rows. Repeated rows and copies get equal results. Entities
 that overlap: the one that starts first stays, of those the longest. Extra columns are kept by `replace`, whatever their names.
 """
@@ -33,6 +35,8 @@ from tessera.llm.common import column, load, slices
 
 KEY = "public-demo-key"
 ROUNDS = 8
+#: Characters permuted at a time: half of them are a number well below the 320 bits that a round adds.
+PIECE = 96
 
 MALE = "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Hans Peter Klaus Jürgen Stefan Pierre Jean Jacques Louis Henri Luc José Juan Carlos Luis Miguel Pedro Javier".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Emily Anna Ursula Monika Petra Sabine Heike Marie Claire Sophie Camille Juliette Louise María Carmen Ana Isabel Laura Lucía Elena".split()
@@ -43,10 +47,10 @@ _NAME = rf"{_UPPER}[^\W\d_]+(?:-{_UPPER}[^\W\d_]+)?"
 
 #: (type, cheap test, pattern); the entity is group 1. Order is the order of preference where two start together.
 PATTERNS = [
-    ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){1,8})")),
-    ("secret", None, re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,512})")),
-    ("key", None, re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{16,80})(?![A-Za-z0-9])")),
-    ("hex", None, re.compile(r"(?<![A-Za-z0-9])((?=[a-f]{0,40}[0-9])[0-9a-f]{32,128}|(?=[A-F]{0,40}[0-9])[0-9A-F]{32,128})(?![A-Za-z0-9])")),
+    ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)++)")),
+    ("secret", None, re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\b\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,}+)")),
+    ("key", None, re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])")),
+    ("hex", None, re.compile(r"(?<![A-Za-z0-9])((?=[a-f]*+[0-9])[0-9a-f]{32,}+|(?=[A-F]*+[0-9])[0-9A-F]{32,}+)(?![A-Za-z0-9])")),
     ("ip", ".", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\.?\d)")),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("card", None, re.compile(r"(?<![\w+-])(\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
@@ -152,13 +156,21 @@ def _class(ch: str, spoken: bool, hexadecimal: bool) -> str | None:
 
 
 def shaped(value: str, key: str, tweak: str, fixed: frozenset[int] = frozenset(), spoken: bool = False, hexadecimal: bool = False) -> str:
-    """Permutes value among the strings of its shape; positions in `fixed` stay."""
+    """Permutes value among the strings of its shape; positions in `fixed` stay. A long value is permuted piece by piece, each under what
+    stands before it, so every character is replaced and different values stay different."""
     sets = [None if i in fixed else _class(c, spoken, hexadecimal) for i, c in enumerate(value)]
     at = [i for i, s in enumerate(sets) if s]
     if not at:
         return value
     shape = "".join(value[i] if s is None else s[0] for i, s in enumerate(sets))
-    got = permute([sets[i].index(value[i]) for i in at], [len(sets[i]) for i in at], key, f"{tweak}|{shape}")
+    digits, radix = [sets[i].index(value[i]) for i in at], [len(sets[i]) for i in at]
+    if len(at) <= PIECE:
+        got = permute(digits, radix, key, f"{tweak}|{shape}")
+    else:
+        got, before = [], hashlib.blake2b(f"{tweak}|{shape}".encode("utf-8", "surrogatepass"))
+        for k in range(0, len(at), PIECE):
+            got += permute(digits[k : k + PIECE], radix[k : k + PIECE], key, before.hexdigest())
+            before.update(bytes(digits[k : k + PIECE]))
     out = list(value)
     for i, d in zip(at, got):
         out[i] = sets[i][d]

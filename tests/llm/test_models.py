@@ -169,6 +169,25 @@ def test_pii_on_edge_rows_and_long_runs(edge, empty):
         pii.replace_text(run)
 
 
+def test_long_entities_are_replaced_whole():
+    r = random.Random(12)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = draw(letters + digits + "._-", 900)
+    for kind, before, value in (
+        ("secret", 'token = "', secret), ("secret", "password: ", draw(letters + digits, 20_000)), ("email", "to ", draw(letters, 90) + "@mail.example.com"), ("hex", "sum ", draw("0123456789abcdef", 256)),
+        ("key", "", "ghp_" + draw(letters + digits, 200)), ("key", "", "sk-" + draw(letters + digits, 200)),
+    ):
+        out, marks = pii.replace_text(f"{before}{value} end")
+        assert [m[:3] for m in marks] == [(kind, len(before), len(before) + len(value))]
+        got = out[len(before) : -4]
+        assert len(got) == len(value) and out == f"{before}{got} end"
+        pieces = range(4, len(value) - (20 if kind == "email" else 0) - 31, 32)
+        assert all(got[i : i + 32].lower() != value[i : i + 32].lower() for i in pieces)
+    other = secret[:-1] + ("a" if secret[-1] != "a" else "b")
+    assert len({pii.surrogate(pii.Entity("secret", 0, 900, x)) for x in (secret, other, "z" + secret[1:])}) == 3
+
+
 def test_pii_query_leaves_nothing(spark, sf, small):
     texts = {r.doc_id: r.text for r in small.collect()}
     for r in queries.QUERIES["op8_pii"](spark, sf).collect():
