@@ -6,7 +6,7 @@ agree at most steps: edit distance becomes Hamming distance. The fingerprint kee
 one after it (which makes chance agreement rarer); steps are sampled by nested levels, and a text's level follows its length, so a fingerprint has 128 to 256 samples (fewer for short texts)
 and fingerprints of different levels compare on the steps of the coarser one. Likeness is the share of compared samples that agree.
 
-`near_pairs` bands the samples, takes neighbours within equal bands as candidates and verifies them by likeness.
+`near_pairs` bands the samples, compares all texts of a band and verifies them by likeness; no query calls it.
 
 The successor of a document (the next in descending doc_id) comes from range buckets: bucket bounds are percentiles of doc_id, and the first
 document of each bucket also goes to the bucket before it. A bucket is sorted by Spark and read as a stream, so its size is no matter for
@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tessera.llm.common import U64, column, load, mix, slices, strings
 
@@ -40,6 +39,8 @@ MOST_BUCKETS = 20_000
 #: With fewer texts than this at work, a plain loop is quicker than array steps.
 FEW = 24
 BANDS, BAND = 16, 8
+#: Entries of a block of a band.
+CROWD = 512
 
 
 @lru_cache(1)
@@ -244,28 +245,48 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def near_pairs(marks: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, other_id (smaller), likeness >= least. marks: doc_id, fingerprint.
+def banded(mark: tuple[int, np.ndarray]) -> list[str]:
+    """Whole bands of the samples at the text's own level and at the next coarser one, where they meet those of texts up to twice as long."""
+    level, s = mark
+    coarse = s[_clip(_subset(level, level + 1, 1 << max(6, len(s).bit_length())), len(s))]
+    return [f"{i}:{at}:{x[i * BAND : (i + 1) * BAND].tobytes().hex()}" for at, x in ((level, s), (level + 1, coarse)) for i in range(min(BANDS, len(x) // BAND))]
 
-    Candidates are neighbours in doc_id order among equal bands and each band's first document: as many as documents times bands, whatever a
-    band's size. Equal fingerprints are one entry while candidates are sought."""
-    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1, 2), F.substring("fingerprint", 3 + i * BAND, BAND)) for i in range(BANDS)])
-    w = W.partitionBy("band").orderBy("doc_id")
-    rows = classes.select("doc_id", "fingerprint", F.explode(bands).alias("band")).filter(F.length(F.substring_index("band", ":", -1)) == 2 + BAND)
-    entry = F.struct(F.col("doc_id").alias("id"), F.col("fingerprint").alias("fp"))
-    near = rows.withColumn("before", F.lag(entry).over(w)).withColumn("head", F.first(entry).over(w))
-    near = near.select("doc_id", "fingerprint", F.explode(F.array("before", "head")).alias("o"))
 
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
+def near_pairs(marks: DataFrame, least: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """doc_id, other_id (smaller), likeness >= least: all such pairs that share a band. marks: doc_id, fingerprint.
 
-        return pd.Series([likeness(parsed(x), parsed(y)) for x, y in zip(a, b)])
+    Equal fingerprints are one entry, named by its smallest doc_id; its other documents are paired with that one. The entries of a band meet in blocks of about `crowd`, each two of them, so
+    the cost grows with the square of a band's entries."""
+    schema = "band string, fingerprint string"
 
-    pairs = near.filter("o.id < doc_id").select("doc_id", F.col("o.id").alias("other_id"), "fingerprint", F.col("o.fp").alias("fp")).dropDuplicates(["doc_id", "other_id"])
-    equal = marks.join(classes.withColumnRenamed("doc_id", "other_id"), "fingerprint").filter("other_id < doc_id").select("doc_id", "other_id", F.lit(1.0).alias("likeness"))
-    return pairs.select("doc_id", "other_id", alike("fingerprint", "fp").alias("likeness")).filter(F.col("likeness") >= least).unionByName(equal)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(band, x) for x in column(b, "fingerprint").to_pylist() for band in banded(parsed(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["band", "fingerprint"])
+
+    rows = marks.select("fingerprint").distinct().mapInArrow(run, schema)
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / crowd).alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "fingerprint")
+
+    def meet(got: pa.Table) -> pa.Table:
+        got, out = got.sort_by("fingerprint"), []
+        names, left, right, block = (got[k].to_pylist() for k in ("fingerprint", "left", "right", "block"))
+        parts = [parsed(x) for x in names]
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                if (left[0] == right[0] or block[i] != block[j]) and (n := likeness(parts[i], parts[j])) >= least:
+                    out.append((names[i], names[j], n))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.string()), "b": pa.array([x[1] for x in out], pa.string()), "likeness": pa.array([x[2] for x in out], pa.float64())})
+
+    alike = dealt.groupBy("band", "left", "right").applyInArrow(meet, "a string, b string, likeness double").dropDuplicates(["a", "b"])
+    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
+    one, two = (classes.select(F.col("fingerprint").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
+    pairs = alike.join(one, "a").join(two, "b").select("id_a", "id_b", "likeness")
+    equal = marks.join(classes, "fingerprint").filter("id < doc_id").select("doc_id", "id", F.lit(1.0))
+    pairs = pairs.union(equal).filter("id_a <> id_b").select(F.greatest("id_a", "id_b").alias("doc_id"), F.least("id_a", "id_b").alias("other_id"), "likeness")
+    return pairs.groupBy("doc_id", "other_id").agg(F.max("likeness").alias("likeness"))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

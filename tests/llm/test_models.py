@@ -273,3 +273,19 @@ def test_near_pairs(spark):
     df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, prose(50, 800, "quick brown foxes jumped lazily beside dozing hounds"))], "doc_id long, text string")
     got = {(r.doc_id, r.other_id) for r in fingerprint.near_pairs(fingerprint.fingerprints(df)).collect()}
     assert got == {(2, 1), (3, 1)}
+
+
+def test_near_pairs_in_crowded_bands(spark):
+    """Pairs of one crowded band, pairs across a change of level, and equal fingerprints."""
+    r = random.Random(21)
+    start = np.arange(8) % 16
+    marks = {i: (0, np.concatenate([start, [r.randrange(16) for _ in range(120)]]).astype(np.uint8)) for i in range(60)}
+    marks[60] = (0, np.where(np.arange(128) % 8 == 7, (marks[30][1] + (np.arange(128) > 7)) % 16, marks[30][1]).astype(np.uint8))
+    text = prose(3, 200)
+    marks[70], marks[71] = fingerprint.embed([text[:255], text[:256]])
+    marks |= {k: marks[5] for k in (80, 81)}
+    df = spark.createDataFrame([(i, fingerprint.written(*m)) for i, m in marks.items()], "doc_id long, fingerprint string")
+    want = {(i, j) for i in marks for j in marks if j < i < 80 and fingerprint.likeness(marks[i], marks[j]) >= 0.8} | {(80, 5), (81, 5)}
+    assert {(60, 30), (71, 70)} <= want and marks[70][0] != marks[71][0]
+    for crowd in (512, 10):
+        assert sorted((x.doc_id, x.other_id) for x in fingerprint.near_pairs(df, crowd=crowd).collect()) == sorted(want)
