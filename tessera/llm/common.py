@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ready, spread
@@ -36,9 +37,11 @@ def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), a temporary folder that is set as such."""
+    """The folder in spark.checkpoint.dir; where that is unset, in a local session only, a temporary folder that is set as such."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -46,11 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables in the shared folder that cut lineage and outlive a lost executor. A table can be dropped as soon as the next one is
-    written; what is left goes when the session ends."""
+    written, and all of those that operators opened as soon as their result is; what is left goes when the session ends."""
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(self._clear, self.base)
+        Scratch.opened.append(self)
+
+    @staticmethod
+    def sweep(since: int) -> None:
+        """Drops all tables of those opened after the first `since`, whose results have been written."""
+        for x in Scratch.opened[since:]:
+            x._clear(x.base)
+        del Scratch.opened[since:]
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -80,6 +93,47 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+# --- joins that spare the large side ----------------------------------------------------------------------------------
+
+#: Bits of a sieve: 8 MB, whatever goes into it.
+SIEVE_BITS = 26
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A hashed bitmap of a column, as at most 2^(SIEVE_BITS - 15) rows of 4 KB."""
+    place = _place(F.col(key))
+    rows = keys.filter(F.col(key).isNotNull()).select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+    return rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def sifted(rows: DataFrame, key: Column, found: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean column `flag`: false only where the key is not in the sieve. Broadcasts the sieve, so rows stay where they are."""
+    bucket, at, bits = (f"_{k}_{uuid.uuid4().hex}" for k in ("bucket", "at", "bits"))
+    rows = rows.withColumn(bucket, F.bitmap_bucket_number(_place(key))).withColumn(at, F.bitmap_bit_position(_place(key)))
+    rows = rows.join(F.broadcast(found.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
+    return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(bucket, at, bits)
+
+
+#: A key that more than one in HOT rows bears is hot; there are fewer than HOT of those.
+HOT = 10_000
+
+
+def attached(rows: DataFrame, of: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `value` from `of`, null where there is none. of: key, value and n, the number of rows that bear the key; one row per key.
+    Hot keys, fewer than HOT, are broadcast and so never gather in one task; the rest meets by hash."""
+    total = rows.count()
+    hot = F.broadcast(of.filter(F.col("n") * HOT > total).select(key, value))
+    first = rows.join(hot, key, "left")
+    rest = first.filter(F.col(value).isNull()).drop(value).join(of.filter(F.col("n") * HOT <= total).select(key, value), key, "left")
+    return first.filter(F.col(value).isNotNull()).unionByName(rest)
+
+
 # --- Arrow text access ------------------------------------------------------------------------------------------------
 
 
@@ -146,29 +200,11 @@ def packed(parts: np.ndarray, bounds: np.ndarray, dtype: str) -> pa.Array:
 U64 = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_RAND = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER = _RAND.copy()
-_LOWER[65:91] = _RAND[97:123]
-
-
-_kept_powers: list[np.ndarray] = []
-#: Powers kept between calls; longer runs, for very long texts, are made anew.
-KEPT_POWERS = 3 << 20
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers (or more) of the multiplier and of its inverse."""
-    if _kept_powers and len(_kept_powers[0]) >= n:
-        return _kept_powers[0], _kept_powers[1]
-    size = -(-n // (1 << 18)) << 18
-    up, down = np.full(size, _P, U64), np.full(size, pow(_P, -1, 2**64), U64)
-    up[0] = down[0] = 1
-    np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
-    if size <= KEPT_POWERS:
-        _kept_powers[:] = up, down
-    return up, down
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -196,13 +232,47 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, off)
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end) as little-endian numbers; a view that overlaps itself."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+
+
+def lowered_bytes(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, all else as it is."""
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte ranges; with `lower`, A-Z count as a-z."""
-    n = len(data)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((_LOWER if lower else _RAND)[data] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """64-bit hashes of byte ranges, eight bytes at a time, each step a bijection of the state; with `lower`, A-Z count as a-z. Ranges of one
+    length up to eight bytes never collide; longer ones by chance only. Where that is not enough, callers compare words or digests."""
+    if not len(start):
+        return np.empty(0, U64)
+    if lower:
+        data = lowered_bytes(data)
+    view, size = lanes(data), end - start
+    h = mix((size.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    todo, at, left = np.arange(len(size)), start, size
+    for k in range(0, LONG_WORD, 8):
+        x = mix((h[todo] if k else h) ^ (view[at] & _MASK[np.minimum(left, 8)]))
+        h[todo] = x
+        more = left > 8
+        if not more.any():
+            return h
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, first byte of each word there): the words with one space between any two of a text."""
+    keep = ~IS_SPACE[data]
+    out = np.where(keep, data, np.uint8(32))
+    after = end[end < len(data)]
+    keep[after[IS_SPACE[data[after]]]] = True
+    return out[keep], (np.cumsum(keep) - 1)[start]
 
 
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
@@ -218,13 +288,28 @@ def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """As windows, by prefix sums: cost does not depend on k."""
-    if len(h) < k:
+    """As windows, for long runs: runs of 1, 2, 4, ... entries are put together, so cost grows with the logarithm of k."""
+    n = len(h) - k + 1
+    if n <= 0:
         return np.empty(0, U64)
-    up, down = powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * U64(0x9E3779B97F4A7C15)
+        x ^= x >> U64(29)
+        x += b
+        x *= U64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> U64(32)
+        return x
+
+    runs, size, at, out = h, 1, 0, None
+    while size <= k:
+        if k & size:
+            part = runs[at : at + n]
+            out, at = part if out is None else both(out, part), at + size
+        if 2 * size <= k:
+            runs = both(runs[:-size], runs[size:])
+        size *= 2
+    return mix(out.copy())
 
 
 def owner(bounds: np.ndarray) -> np.ndarray:

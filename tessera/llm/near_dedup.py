@@ -8,14 +8,20 @@
    and has more than REACH + 1 rows, or touches an edge of its partition, is open: its rows meet again, all pairs of different families
    (components of the edges so far), in blocks of about CROWD rows of which each two meet. So every two nodes that share a prefix and look
    alike are in one family, however dense the region, and whatever the number of partitions.
-3. Components of these edges are families. A family's texts meet in one task, or, above FAMILY shingles, in blocks of which each two meet.
-   There, pairs that look at least loose() alike and are not yet connected are confirmed on their full sets, most alike first. No pair
-   leaves a task but the edges of the forest of confirmed links.
+3. Components of these edges are families. A family's texts meet in tasks of at most about BLOCK_TEXTS texts and FAMILY shingles. There,
+   pairs that look at least loose() alike and are not yet connected are confirmed on their full sets, most alike first. Of families of
+   several blocks, one text of each group found so far meets the others in the same way, again and again, which joins a large family of near
+   copies at a cost in proportion to its texts. Only where groups of one family are still apart after that, their texts are compared by sketch, and
+   those with a partner that looks alike in another group meet in blocks of FAMILY shingles, each two blocks once. No pair leaves a task
+   but the edges of the forest of confirmed links.
 4. Components of confirmed links are the groups.
 
-A pair at the threshold shares a prefix in no tree with probability (1 - 0.85 ** 5) ** 20 < 1e-5, and looks less than loose() alike with
-about the same; nothing else is missed, in dense regions too. The price is a comparison of sketches, in each tree, of all pairs of an open group
-that are not in one family: the square of the group's number of rows.
+Exactness. Copies are one node by a 128-bit BLAKE2b digest of their lower-cased words; links are confirmed on sets of the words themselves
+(numbered within a task, no hashes). Hashes only choose candidates, and count a text's own distinct shingles (64 bits).
+
+A pair at the threshold shares a prefix in no tree with probability (1 - (percent / 100) ** depth) ** 20 < 1e-5, and looks less than loose()
+alike with about the same; nothing else is missed, in dense regions too. The price is a comparison of sketches, in each tree, of all pairs of an open
+group that are not in one family, and of all pairs of a family's groups that no confirmed links connect: squares of the numbers of those.
 
 Defined results. Null or empty text, or no words: an empty set, linked with nothing, kept. Fewer words than WORDS: the whole sequence is the one
 shingle. Empty table: no rows. Repeated rows and rows of equal doc_id are one row each, and all rows that carry the smallest doc_id of a
@@ -24,6 +30,8 @@ group are kept. Null doc_id: linked with nothing, kept, component_id null. Extra
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Scratch, column, load, mix, owner, packed, raw, slices, windows, word_hashes, words
+from tessera.llm.common import U64, Scratch, attached, column, joined, load, lowered_bytes, mix, owner, packed, raw, sieve, sifted, slices, windows, word_hashes, words
 from tessera.llm.components import Forest, components
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union, unless a caller gives another percentage.
-PERCENT = 85
+PERCENT = 80
 TREES, HASHES = 20, 128
 REACH = 32
 #: Rows of a block of an open group.
@@ -55,8 +63,8 @@ def loose(percent: int) -> int:
     return int(np.ceil(HASHES * (low + (1 - low) / 16)))
 
 
-#: Shingles of a block of a family.
-FAMILY = 500_000
+#: Texts and shingles of a block of a family.
+BLOCK_TEXTS, FAMILY = 120, 500_000
 _A = np.random.default_rng(31337).integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -84,16 +92,20 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndar
     return values[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
-def set_hash(s: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the sets that begin at `first`, as signed integers; independent of order."""
-    return mix(np.add.reduceat(mix(s.copy()), first)).view(np.int64) if len(first) else np.empty(0, np.int64)
+def digests(data: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+    """BLAKE2b of the lower-cased words of each text, one space between two; None for a text without words."""
+    start, end, bounds = words(data, off)
+    text, first = joined(lowered_bytes(data), start, end)
+    view, first, size, out = memoryview(text), first.tolist(), (end - start).tolist(), []
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        out.append(hashlib.blake2b(view[first[i] : first[j - 1] + size[j - 1]], digest_size=16).digest() if j > i else None)
+    return out
 
 
-def signatures(s: np.ndarray, bounds: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set hash, prefixes [text, tree], sketch [text, HASHES / 2 bytes]) of the non-empty sets, and which texts those are."""
+def signatures(s: np.ndarray, bounds: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefixes [text, tree], sketch [text, HASHES / 2 bytes]) of the non-empty sets, and which texts those are."""
     some = np.flatnonzero(np.diff(bounds))
     first = bounds[some]
-    node = set_hash(s, first)
     minima = np.empty((HASHES, len(some)), np.uint32)
     for i in range(HASHES if len(some) else 0):
         minima[i] = np.minimum.reduceat(((s * _A[i]) >> U64(32)).astype(np.uint32), first)
@@ -104,30 +116,28 @@ def signatures(s: np.ndarray, bounds: np.ndarray, deep: int) -> tuple[np.ndarray
             x = mix((x ^ m) * U64(0x9E3779B97F4A7C15) + U64(1))
         prefix[:, t] = x
     low = (minima & 15).astype(np.uint8)
-    return node, prefix, np.ascontiguousarray((low[0::2] << 4 | low[1::2]).T), some
+    return prefix, np.ascontiguousarray((low[0::2] << 4 | low[1::2]).T), some
 
 
 def sketched(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set; null if empty), prefixes and sketch (binary)."""
+    """doc_id, n_shingles, digest (of the words; null without), prefixes and sketch (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                s, bounds = shingles(*raw(column(b, "text")))
-                node, prefix, sketch, some = signatures(s, bounds, depth(percent))
-                n, place = b.num_rows, np.full(b.num_rows, -1)
-                place[some] = np.arange(len(some))
-                none = place < 0
-                full = np.zeros(n, np.int64)
-                full[some] = node
+                data, off = raw(column(b, "text"))
+                s, bounds = shingles(data, off)
+                prefix, sketch, some = signatures(s, bounds, depth(percent))
+                none = np.ones(b.num_rows, bool)
+                none[some] = False
                 edge = np.concatenate([[0], np.cumsum(~none)])
                 yield pa.RecordBatch.from_arrays(
-                    [column(b, "doc_id"), pa.array(np.diff(bounds)), pa.array(full, mask=none), packed(prefix.ravel(), edge * TREES, "<u8"), packed(sketch.ravel(), edge * sketch.shape[1], "u1")],
-                    ["doc_id", "n_shingles", "node", "prefixes", "sketch"],
+                    [column(b, "doc_id"), pa.array(np.diff(bounds)), pa.array(digests(data, off), pa.binary()), packed(prefix.ravel(), edge * TREES, "<u8"), packed(sketch.ravel(), edge * sketch.shape[1], "u1")],
+                    ["doc_id", "n_shingles", "digest", "prefixes", "sketch"],
                 )
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, prefixes binary, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefixes binary, sketch binary")
 
 
 #: Equal four-bit halves of a byte, by the exclusive or of two bytes.
@@ -247,6 +257,27 @@ def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD, percent:
     return components(stars.union(more), scratch) if more.limit(1).count() else stars
 
 
+def exact_sets(texts: list[bytes], k: int = WORDS) -> list[set]:
+    """The set of each (lower-cased) text, as numbers that are equal for equal shingles only. Words are numbered as they come, then runs of
+    2, 3, ... words by the number of the run before and that of the next word."""
+    names: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    ids, off = [], [0]
+    for t in texts:
+        ids += [names.setdefault(w, len(names)) for w in t.split()]
+        off.append(len(ids))
+    word = np.array(ids, U64)
+    run = word
+    for j in range(1, k):
+        if j > 1:
+            run = np.unique(run, return_inverse=True)[1].astype(U64)
+        run = run[: max(0, len(word) - j)] << U64(32) | word[j:]
+    out = []
+    for i, j in zip(off, off[1:]):
+        out.append(set(run[i : j - k + 1].tolist()) if j - i >= k else {-1 - short.setdefault(tuple(ids[i:j]), len(short))} if j > i else set())
+    return out
+
+
 def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -254,102 +285,161 @@ def linked(a: set, b: set, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(nodes: list[int], sketch: np.ndarray, sets: list[set], side: np.ndarray, forest: Forest, percent: int = PERCENT) -> None:
-    """Joins the nodes that confirmed links connect. side: with two blocks at hand, only pairs between them are looked at (0 and 1);
+def confirm(label: np.ndarray, sketch: np.ndarray, sets: list[set], side: np.ndarray, forest: Forest, percent: int = PERCENT) -> None:
+    """Joins the labels of the texts that confirmed links connect. side: with two blocks at hand, only pairs between them are looked at (0 and 1);
     with one, all (0)."""
     across, least = bool(side.any()), loose(percent)
     size = np.array([len(x) for x in sets])
     rows = np.flatnonzero(side == 0)
-    step = max(1, (1 << 22) // max(1, len(nodes) * sketch.shape[1]))
-    a, b, n = [], [], []
+    other = np.flatnonzero(side == 1) if across else np.arange(len(label))
+    step = max(1, (1 << 22) // max(1, len(other) * sketch.shape[1]))
     for at in range(0, len(rows), step):
         i = rows[at : at + step]
-        other = np.flatnonzero(side == 1) if across else np.arange(len(nodes))
         agree = _AGREE[sketch[i][:, None, :] ^ sketch[other][None, :, :]].sum(2, dtype=np.int16)
-        x, y = np.nonzero(agree >= least)
+        x, y = np.nonzero((agree >= least) & (label[i][:, None] != label[other][None, :]))
         if not across:
             x, y = x[i[x] < other[y]], y[i[x] < other[y]]
         big, small = np.maximum(size[i[x]], size[other[y]]), np.minimum(size[i[x]], size[other[y]])
         fits = 100 * small >= percent * big
-        a.append(i[x][fits]), b.append(other[y][fits]), n.append(agree[x, y][fits])
-        # a block's pairs are judged at once, most alike first, so memory does not grow with the pairs of a family
-        _judge(np.concatenate(a), np.concatenate(b), np.concatenate(n), nodes, sets, forest, percent)
-        a, b, n = [], [], []
+        # the pairs of a step are judged at once, most alike first, so memory does not grow with the pairs of a family
+        _judge(i[x][fits], other[y][fits], agree[x, y][fits], label, sets, forest, percent)
 
 
-def _judge(a: np.ndarray, b: np.ndarray, n: np.ndarray, nodes: list[int], sets: list[set], forest: Forest, percent: int) -> None:
+def _judge(a: np.ndarray, b: np.ndarray, n: np.ndarray, label: np.ndarray, sets: list[set], forest: Forest, percent: int) -> None:
     order = np.argsort(-n, kind="stable")
     for at in range(0, len(order), 2048):
         some = order[at : at + 2048]
-        for i, j in zip(a[some].tolist(), b[some].tolist()):
-            if forest.root(nodes[i]) != forest.root(nodes[j]) and linked(sets[i], sets[j], percent):
-                forest.join(nodes[i], nodes[j])
+        for i, j, x, y in zip(a[some].tolist(), b[some].tolist(), label[a[some]].tolist(), label[b[some]].tolist()):
+            if forest.root(x) != forest.root(y) and linked(sets[i], sets[j], percent):
+                forest.join(x, y)
 
 
-def families(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """members: family, left and right (block numbers), block, node, sketch, text. a, b: forests of confirmed links."""
+def confirmed(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """dealt: family, left and right (block numbers), block, label, digest, sketch, text. a, b: forests of the labels that confirmed links connect."""
 
     def group(got: pa.Table) -> pa.Table:
-        got = got.combine_chunks().sort_by("node")
-        nodes, left = got["node"].to_pylist(), got["left"].to_numpy()
-        side = (got["block"].to_numpy() != left).astype(np.int8)
-        sets: list[set] = []
+        got = got.combine_chunks().sort_by("label")
+        label, left, parts, sets = got["label"].to_numpy(), got["left"].to_numpy(), [], []
         for b in got.select(["text"]).to_batches():
-            for part in slices(b, "text"):
-                values, bounds = shingles(*raw(column(part, "text")))
-                sets += [values[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            data, off = raw(column(b, "text"))
+            sets += digests(data, off)
+            data = lowered_bytes(data)
+            parts += [data[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
         # rows of equal doc_id may bring another text: only the node's own counts
-        ok = np.array([i for i, x in enumerate(sets) if len(x) and int(set_hash(x, np.zeros(1, np.int64))[0]) == nodes[i]], np.int64)
-        sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(nodes), -1)
+        ok = np.array([i for i, (x, y) in enumerate(zip(sets, got["digest"].to_pylist())) if x == y], np.int64)
+        sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(label), -1)
         forest = Forest()
-        confirm([nodes[i] for i in ok], sketch[ok], [set(sets[i].tolist()) for i in ok], side[ok], forest, percent)
+        confirm(label[ok], sketch[ok], exact_sets([parts[i] for i in ok]), (got["block"].to_numpy() != left).astype(np.int8)[ok], forest, percent)
         return pa.Table.from_batches([forest.stars()])
 
-    return members.groupBy("family", "left", "right").applyInArrow(group, "a long, b long")
+    return dealt.groupBy("family", "left", "right").applyInArrow(group, "a long, b long")
+
+
+def _paired(rows: DataFrame, blocks: DataFrame, of: str) -> DataFrame:
+    """rows dealt to the blocks of their family (by a hash of `of`), and copied to each pair of blocks: left, right, block."""
+    out = rows.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64(of), F.col("blocks")))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return out.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _blocks(rows: DataFrame, texts: int, family: int) -> DataFrame:
+    return rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / texts), F.ceil(F.sum("n") / family)).alias("blocks"))
+
+
+def partners(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """rows: family, left, right, block, label, node, sketch. node: those that look like one of another label."""
+
+    def group(got: pa.Table) -> pa.Table:
+        got = got.combine_chunks()
+        node = got["node"].to_numpy()
+        sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(node), -1)
+        seen = Forest()
+        meet(got["label"].to_numpy(), sketch, node, (got["block"].to_numpy() != got["left"].to_numpy()).astype(np.int8), seen, loose(percent))
+        return pa.table({"node": pa.array(list(seen.up), pa.int64())})
+
+    return rows.groupBy("family", "left", "right").applyInArrow(group, "node long").distinct()
+
+
+def settled(held: DataFrame, links: DataFrame, scratch: Scratch, texts: int, family: int, crowd: int, percent: int) -> DataFrame:
+    """All links (as stars) of the families of several blocks, whose texts have met in their own blocks only. held: family, node, n, digest, sketch, text."""
+    nodes = scratch.keep(held.select("family", "node", "n", "sketch"))
+    before = None
+    while True:
+        tops = scratch.keep(nodes.join(links.select(F.col("a").alias("node")), "node", "left_anti").select("family", "node", "n"))
+        blocks = scratch.keep(_blocks(tops, texts, family).join(tops.groupBy("family").agg(F.count(F.lit(1)).alias("tops")).filter("tops > 1"), "family").drop("tops"))
+        most, = blocks.agg(F.max("blocks")).first()
+        left = tops.count()
+        if not most or (before is not None and left > 0.8 * before):
+            break
+        met = held.join(tops.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(left)), F.col("blocks"))).select("node", "block"), "node")
+        more = confirmed(met.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "block", F.col("node").alias("label"), "digest", "sketch", "text"), percent)
+        links, before = components(links.union(scratch.keep(more)), scratch), left
+        if most == 1:
+            break
+    label = nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    apart = label.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes")).filter("low < high")
+    rows = label.join(apart.select("family"), "family", "left_semi").select("family", "node", "label", "sketch")
+    met = partners(_paired(rows, apart.select("family", F.ceil(F.col("nodes") / crowd).alias("blocks")), "node"), percent)
+    met = scratch.keep(label.join(met, "node").select("family", "node", "label", "n"))
+    if not met.limit(1).count():
+        return links
+    dealt = held.join(_paired(met.drop("n"), _blocks(met, 1 << 40, family), "node").drop("family"), "node")
+    more = scratch.keep(confirmed(dealt.select("family", "left", "right", "block", "label", "digest", "sketch", "text"), percent))
+    scratch.release()
+    return components(links.union(more), scratch)
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", family: int = FAMILY, percent: int = PERCENT) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, texts: int = BLOCK_TEXTS, family: int = FAMILY, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows = sketched(docs, doc_id, text, percent)
-    rows = scratch.keep(rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("prefixes").alias("prefixes"), F.max("sketch").alias("sketch"))
-    nodes = scratch.keep(nodes)
+    rows = scratch.keep(rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))))
+    nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("prefixes").alias("prefixes"), F.max("sketch").alias("sketch"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     half = HASHES // 2
     order = (
         nodes.select("node", "prefixes", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("tree", F.conv(F.hex(F.expr("substring(prefixes, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), F.concat(F.expr(f"substring(sketch, (tree * 3) % {half} + 1)"), F.expr(f"substring(sketch, 1, (tree * 3) % {half})")).alias("turned"), "node")
     )
-    stars = candidates(order, scratch, percent=percent)
+    stars = candidates(order, scratch, crowd, percent)
     scratch.release()
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("family")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
-    member = scratch.keep(member.join(nodes, "node").select("family", "node", "id", "n", "sketch"))
-    blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / family).alias("blocks"))
+    member = scratch.keep(member.join(nodes, "node").select("family", "node", "id", "digest", "n", "sketch"))
+    blocks = scratch.keep(_blocks(member, texts, family))
     dealt = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    texts = texts.join(dealt, "id")
-    meet = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meet = meet.select("family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "sketch", "text")
-    links = scratch.keep(families(meet, percent))
+    own = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
+    own = sifted(own, F.col("id"), sieve(member, "id"), "some").filter("some").drop("some")
+    wide = blocks.filter("blocks > 1").limit(1).count() > 0
+    held = own.join(dealt, "id").drop("id")
+    held = scratch.keep(held) if wide else held
+    links = held.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "block", F.col("node").alias("label"), "digest", "sketch", "text")
+    links = scratch.keep(confirmed(links, percent))
     scratch.release()
-    if blocks.filter("blocks > 1").limit(1).count():
-        links = components(links, scratch)
+    if wide:
+        links = settled(held.filter("blocks > 1").drop("blocks", "block"), links, scratch, texts, family, crowd, percent)
     root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = root.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    joined = nodes.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = joined.join(least, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of = nodes.select("node", "digest", "id", "copies").join(root, "node", "left")
+    least = of.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    # a text without copies and links is its own component; all others are looked up by their digests
+    of = scratch.keep(of.filter("root is not null or copies > 1").join(least, "root", "left").select("digest", F.coalesce("least", "id").alias("component_id"), F.col("copies").alias("n")))
+    out = attached(rows.filter("digest is not null").select("doc_id", "n_shingles", "digest"), of, "digest", "component_id").drop("digest")
+    out = out.unionByName(rows.filter("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, without those of a group whose doc_id is not its smallest. Rows of equal doc_id go or stay together."""
-    gone = groups(docs, doc_id, text, percent=percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("gone"), "left_anti")
+    """The rows of docs, all columns, without those of a group whose doc_id is not its smallest. Rows of equal doc_id go or stay together. Only rows that a
+    sieve of the doc_ids that go does not let through at once are shuffled."""
+    name, flag = (f"{x}_{uuid.uuid4().hex}" for x in ("gone", "maybe"))
+    found = groups(docs, doc_id, text, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = Scratch(docs.sparkSession, "near-gone").keep(found)
+    rows = sifted(docs, F.col(doc_id).cast("long"), sieve(gone, name), flag)
+    stay = rows.filter(~F.col(flag)).select(*docs.columns)
+    return stay.unionByName(rows.filter(flag).join(gone, rows[doc_id].cast("long") == F.col(name), "left_anti").select(*docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(load(spark, sf_dir))
+    return groups(load(spark, sf_dir), percent=85)

@@ -8,10 +8,13 @@ doc_id. Every window wholly holds an aligned block of BLOCK words of its documen
 2. Extend. Around every hit, all windows that contain it are looked up among the windows around all other hits, for the smallest doc_id
    that has the same words. Windows that occur in a smaller document, merged, are the maximal repeats.
 
-Documents travel in slices of about SLICE_BYTES, written once. A slice sends each distinct value once to its bucket, with two flags or the
-smallest doc_id, and gets back one bit per value, so a passage that a third of all documents share costs a bucket as many entries as there
-are slices, and no pair of documents is ever formed. Values are 64-bit hashes (in step 1: 32 bits within a bucket, which only adds
-windows to step 2).
+Documents travel in slices of about SLICE_BYTES, written once, compressed. A slice sends each distinct value once to its bucket, with two flags
+or the smallest doc_id, and gets back one bit per value, so no pair of documents is ever formed. A task remembers (up to KNOWN values) what it
+has sent: a passage that its slices share is sent by the first of them, and the others know the answer, so a passage that a third of all
+documents share costs a bucket an entry or two per task.
+
+Exactness. In step 1 values are 64-bit hashes (32 bits within a bucket), which only add windows to step 2 by chance collisions. In step 2 a
+window is a 128-bit BLAKE2b digest of its words, one space between two; no hash without that decides that a word goes.
 
 Defined results. Null or empty text: no words. Fewer than WINDOW words: nothing goes. Empty table: no rows. A repeat inside one document, or
 between rows of equal doc_id, does not count. Null doc_id: larger than all others. Extra columns are ignored. Bytes are compared as they are.
@@ -19,33 +22,37 @@ between rows of equal doc_id, does not count. Null doc_id: larger than all other
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Scratch, column, load, owner, raw, release, rolling, slices, word_hashes, words
+from tessera.llm.common import U64, Scratch, column, joined, load, owner, raw, release, rolling, slices, word_hashes, words
 
 WINDOW, BLOCK = 50, 25
-#: Bytes of text per slice, and per bucket on average.
-SLICE_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+#: Bytes of text per slice; and per bucket on average, in small tables and in large ones (of more than FEW_BUCKETS buckets).
+SLICE_BYTES, BUCKET_BYTES, LARGE_BUCKET_BYTES, FEW_BUCKETS = 2 << 20, 4 << 20, 32 << 20, 4096
+#: Values that a task remembers; further ones are sent again.
+KNOWN = 1 << 18
 _NONE = np.iinfo(np.int64).max
 
 
 def sliced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
-    """slice long, n_bytes long, ids, off (both packed 64-bit integers) and data binary: about `size` bytes of text per row."""
+    """slice long, n_bytes long, ids, off (both packed 64-bit integers) and data binary (compressed): about `size` bytes of text per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
+        n, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for b in slices(whole, "text", size):
                 data, off = raw(column(b, "text"))
                 ids = column(b, "doc_id").fill_null(_NONE).to_numpy(zero_copy_only=False).astype("<i8")
-                values = [[n], [len(data)], [ids.tobytes()], [off.astype("<i8").tobytes()], [data.tobytes()]]
+                values = [[n], [len(data)], [ids.tobytes()], [off.astype("<i8").tobytes()], [pack.compress(data.tobytes())]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["slice", "n_bytes", "ids", "off", "data"])
                 n += 1
 
@@ -55,7 +62,15 @@ def sliced(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
 def _bucket(values: np.ndarray, n: int) -> np.ndarray:
     """Buckets of 64-bit values, in order of value."""
-    return ((values >> U64(32)) * U64(n)) >> U64(32)
+    high = values["high"] if values.dtype == _DIGEST else values
+    return ((high >> U64(32)) * U64(n)) >> U64(32)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+_DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
 class Slice:
@@ -63,7 +78,7 @@ class Slice:
 
     def __init__(self, ids: bytes, off: bytes, data: bytes, window: int, block: int):
         self.window, self.block = window, block
-        self.ids, self.off, self.data = np.frombuffer(ids, "<i8"), np.frombuffer(off, "<i8"), np.frombuffer(data, np.uint8)
+        self.ids, self.off, self.data = np.frombuffer(ids, "<i8"), np.frombuffer(off, "<i8"), np.frombuffer(unpacked(data), np.uint8)
         self.start, self.end, self.bounds = words(self.data, self.off)
         self.h, self.of = word_hashes(self.data, self.start, self.end), owner(self.bounds)
         size = np.diff(self.bounds)
@@ -84,63 +99,134 @@ class Slice:
         return out | (other.astype(np.uint8) << 1)
 
     def around(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """hit: one flag per distinct value. (first words of the windows that hold a hit, distinct window hashes, index of each window's
-        hash, smallest doc_id of each hash here)."""
+        """hit: one flag per distinct value. (first words of the windows that hold a hit, distinct digests of their words, index of each
+        window's digest, smallest doc_id of each digest here)."""
         n = len(self.h) - self.window + 1
         if n <= 0 or not hit.any():
-            return (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
+            return (np.empty(0, np.int64), np.empty(0, _DIGEST), np.empty(0, np.int64), np.empty(0, np.int64))
         seen = np.zeros(len(self.h) + 1, np.int64)
         seen[self.places[hit[self.back]] + 1] = 1
         np.cumsum(seen, out=seen)
         at = np.arange(n)
         at = at[(self.of[:n] == self.of[self.window - 1 :]) & (seen[np.minimum(at + self.window - self.block + 1, len(self.h))] > seen[:n])]
-        values, back = np.unique(rolling(self.h, self.window)[at], return_inverse=True)
+        text, first = joined(self.data, self.start, self.end)
+        view, last = memoryview(text), first[at + self.window - 1] + (self.end - self.start)[at + self.window - 1]
+        digest, made = hashlib.blake2b, []
+        for i, j in zip(first[at].tolist(), last.tolist()):
+            made.append(digest(view[i:j], digest_size=16).digest())
+        values, back = _distinct(np.frombuffer(b"".join(made), _DIGEST))
         least = np.full(len(values), _NONE)
         np.minimum.at(least, back, self.ids[self.of[at]])
         return at, values, back, least
 
     def bits(self, values: np.ndarray, n: int, found: list | None) -> np.ndarray:
-        """Flags per value from the (bucket, mask) entries that came back."""
+        """Flags per value (in order) from the entries that came back: bucket, mask, and which of the slice's values of that bucket the mask is about."""
         out = np.zeros(len(values), bool)
         if found:
             b = _bucket(values, n)
             for x in found:
                 i, j = np.searchsorted(b, [x["bucket"], x["bucket"] + 1])
-                out[i:j] = np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=j - i)
+                place = np.arange(i, j) if x["sent"] is None else i + np.frombuffer(x["sent"], "<i4")
+                out[place] |= np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=len(place)).view(bool)
         return out
 
 
-def _dealt(slice_: int, values: np.ndarray, n: int, low: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket of a slice: bucket, slice, values and what goes with them, packed."""
-    b = _bucket(values, n)
-    found, at = np.unique(b, return_index=True)
-    cuts = [*at.tolist(), len(values)]
-    cols = [pa.array(found.astype(np.int32)), pa.array([slice_] * len(found), pa.int64())]
-    cols += [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (low, other)]
-    return pa.RecordBatch.from_arrays(cols, ["bucket", "slice", "values", "other"])
-
-
-_DEALT = "bucket int, slice long, values binary, other binary"
-_MASKS = "slice long, bucket int, mask binary"
-
-
-def _answer(got: pa.Table, value_type: str, other_type: str, judge) -> pa.Table:
-    """judge(order, group starts, group of each, other) -> a flag per entry in that order; back come masks of the slices that have one."""
-    vals = [np.frombuffer(x, value_type) for x in got["values"].to_pylist()]
-    other = np.concatenate([np.frombuffer(x, other_type) for x in got["other"].to_pylist()])
-    v = np.concatenate(vals)
-    order = np.argsort(v, kind="stable")
-    s = v[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    flags = np.empty(len(v), bool)
-    flags[order] = judge(np.flatnonzero(new), np.cumsum(new) - 1, other[order])
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct digests in order, and the index of each entry's."""
+    order = np.argsort(x["high"], kind="stable")
+    high, low = x["high"][order], x["low"][order]
+    tied = high[1:] == high[:-1]
+    if (tied & (low[1:] != low[:-1])).any():
+        order = np.lexsort((x["low"], x["high"]))
+        high, low = x["high"][order], x["low"][order]
+    new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])[: len(x)]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[order[new]], back
+
+
+class Known:
+    """What a task has sent: items by sorted 64-bit keys, at most KNOWN of them."""
+
+    def __init__(self, kind: np.dtype):
+        self.key, self.item = np.empty(0, U64), np.empty(0, kind)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are known, their items)."""
+        if not len(self.key):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), self.item.dtype)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return self.key[at] == keys, self.item[at]
+
+    def add(self, keys: np.ndarray, items: np.ndarray) -> None:
+        """Items of known keys are replaced."""
+        if len(self.key) + len(keys) > KNOWN:
+            self.key, self.item = self.key[:0], self.item[:0]
+        self.key, at = np.unique(np.concatenate([keys, self.key]), return_index=True)
+        self.item = np.concatenate([items, self.item])[at]
+
+
+def _dealt(slice_: int, values: np.ndarray, n: int, content: np.ndarray, own: np.ndarray | None = None, answer: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice: its bucket, the content of the values to send, packed, and which of the slice's values of that bucket they are (null: all).
+    own: flags of the values to send; answer: flags of values whose answer is known already, which go back as masks, dealt by slice."""
+    b = _bucket(values, n).astype(np.int64)
+    own = np.ones(len(values), bool) if own is None else own
+    rows: list[tuple] = []
+    for flags, sending in ((own, True), (answer, False)):
+        at = np.flatnonzero(flags) if flags is not None else np.empty(0, np.int64)
+        if not len(at):
+            continue
+        found, first = np.unique(b[at], return_index=True)
+        begin = np.searchsorted(b, found)
+        whole = np.searchsorted(b, found, side="right") - begin
+        cuts = [*first.tolist(), len(at)]
+        for k, (x, i, j) in enumerate(zip(found.tolist(), cuts, cuts[1:])):
+            sent = None if j - i == whole[k] else (at[i:j] - begin[k]).astype("<i4").tobytes()
+            rows.append((x if sending else -1 - (slice_ % n), x, slice_, content[at[i:j]].tobytes() if sending else None, sent, None if sending else np.packbits(np.ones(j - i, bool)).tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["deal", "bucket", "slice", "values", "sent", "mask"])
+
+
+_DEALT = "deal int, bucket int, slice long, values binary, sent binary, mask binary"
+_MASKS = "slice long, bucket int, sent binary, mask binary"
+_PROBE, _SMALLEST = np.dtype([("value", "<u4"), ("flag", "u1")]), np.dtype([("high", "<u8"), ("low", "<u8"), ("least", "<i8")])
+
+
+def _answer(got: pa.Table, kind: np.dtype, judge) -> pa.Table:
+    """judge(all entries) -> a flag per entry; back come masks of the slices that have one. Known answers pass."""
+    if got["deal"][0].as_py() < 0:
+        return got.select(["slice", "bucket", "sent", "mask"])
+    vals = [np.frombuffer(x, kind) for x in got["values"].to_pylist()]
+    flags = judge(np.concatenate(vals))
     bucket, out, at = got["bucket"][0].as_py(), [], 0
-    for name, x in zip(got["slice"].to_pylist(), vals):
+    for name, sent, x in zip(got["slice"].to_pylist(), got["sent"].to_pylist(), vals):
         own = flags[at : at + len(x)]
         at += len(x)
         if own.any():
-            out.append((name, bucket, np.packbits(own).tobytes()))
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["slice", "bucket", "mask"])
+            out.append((name, bucket, sent, np.packbits(own).tobytes()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["slice", "bucket", "sent", "mask"])
+
+
+def _hits(x: np.ndarray) -> np.ndarray:
+    """Which probes are a reference block somewhere and occur in several documents."""
+    order = np.argsort(x["value"], kind="stable")
+    value, flag = x["value"][order], x["flag"][order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    flag[np.diff(starts, append=len(flag))[group] > 1] |= 2  # sent by several slices
+    out = np.empty(len(x), bool)
+    out[order] = (np.bitwise_or.reduceat(flag, starts) == 3)[group]
+    return out
+
+
+def _smaller(x: np.ndarray) -> np.ndarray:
+    """Which windows occur in a document with a smaller doc_id than the one that came with them."""
+    values, group = _distinct(np.rec.fromarrays([x["high"], x["low"]], dtype=_DIGEST))
+    least = np.full(len(values), _NONE)
+    np.minimum.at(least, group, x["least"])
+    return least[group] < x["least"]
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK, size: int = SLICE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -152,44 +238,47 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     scratch = Scratch(spark, "substring")
     table = scratch.keep(sliced(docs, doc_id, text, size))
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(-(-total // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    few = min(-(-total // bucket_bytes), FEW_BUCKETS)
+    n = max(few, -(-total // LARGE_BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = Known(np.dtype("u1"))  # values that the flags of one slice have shown to be hits
         for b in batches:
             for r in b.to_pylist():
                 s = Slice(r["ids"], r["off"], r["data"], window, block)
                 if len(s.values):
-                    yield _dealt(r["slice"], s.values, n, s.values.astype("<u4"), s.flags())
+                    content = np.empty(len(s.values), _PROBE)
+                    content["value"], content["flag"] = s.values.astype("<u4"), s.flags()
+                    known, _ = hits.of(s.values)
+                    yield from _dealt(r["slice"], s.values, n, content, ~known, known)
+                    fresh = (content["flag"] == 3) & ~known
+                    hits.add(s.values[fresh], content["flag"][fresh])
                 release()
 
-    def hits(got: pa.Table) -> pa.Table:
-        def judge(starts, group, flag):
-            flag = flag.copy()
-            flag[np.diff(starts, append=len(flag))[group] > 1] |= 2  # in several slices
-            return (np.bitwise_or.reduceat(flag, starts) == 3)[group]
-
-        return _answer(got, "<u4", np.uint8, judge)
-
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Known(_SMALLEST)
         for b in batches:
             for r in b.to_pylist():
                 s = Slice(r["ids"], r["off"], r["data"], window, block)
                 _, values, _, least = s.around(s.bits(s.values, n, r["hits"]))
                 if len(values):
-                    yield _dealt(r["slice"], values, n, values.astype("<u8"), least.astype("<i8"))
+                    content = np.empty(len(values), _SMALLEST)
+                    content["high"], content["low"], content["least"] = values["high"], values["low"], least
+                    found, before = sent.of(values["high"])
+                    known = found & (before["low"] == values["low"]) & (before["least"] < least)
+                    yield from _dealt(r["slice"], values, n, content, ~known, known)
+                    sent.add(values["high"][~known], content[~known])
                 release()
 
-    def smallest(got: pa.Table) -> pa.Table:
-        return _answer(got, "<u8", "<i8", lambda starts, group, least: np.minimum.reduceat(least, starts)[group] < least)
-
-    def gathered(masks: DataFrame, name: str) -> DataFrame:
+    def gathered(dealt: DataFrame, kind: np.dtype, judge, name: str) -> DataFrame:
         # as many entries as a slice has buckets with a flag: bounded by the slice
-        return scratch.keep(masks.groupBy("slice").agg(F.collect_list(F.struct("bucket", "mask")).alias(name)))
+        masks = dealt.groupBy("deal").applyInArrow(lambda got: _answer(got, kind, judge), _MASKS)
+        return scratch.keep(masks.groupBy("slice").agg(F.collect_list(F.struct("bucket", "sent", "mask")).alias(name)))
 
-    first = gathered(table.select("slice", "ids", "off", "data").mapInArrow(probes, _DEALT).groupBy("bucket").applyInArrow(hits, _MASKS), "hits")
+    first = gathered(table.select("slice", "ids", "off", "data").mapInArrow(probes, _DEALT), _PROBE, _hits, "hits")
     scratch.release()
     second = table.join(first, "slice").select("slice", "ids", "off", "data", "hits").mapInArrow(candidates, _DEALT)
-    second = gathered(second.groupBy("bucket").applyInArrow(smallest, _MASKS), "smaller")
+    second = gathered(second, _SMALLEST, _smaller, "smaller")
     scratch.release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +298,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 def _cut(r: dict, s: Slice | None, gone: np.ndarray, window: int) -> pa.RecordBatch:
     """The documents of a slice without the words of the windows that begin at the words `gone`."""
-    ids, off, data = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["off"], "<i8").tolist(), r["data"]
+    ids, off, data = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["off"], "<i8").tolist(), unpacked(r["data"])
     edge = np.zeros((len(s.h) if s else 0) + 1, np.int64)
     np.add.at(edge, gone, 1)
     np.add.at(edge, gone + window, -1)

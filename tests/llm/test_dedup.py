@@ -9,15 +9,16 @@ import numpy as np
 import pytest
 from compare import difference
 from llm_data import prose
+from pyspark.sql import functions as F
 
 from tessera.llm import components, exact_dedup, near_dedup, queries, substring_dedup
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, attached, rolling, sieve, sifted, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_groups(texts: dict) -> dict:
+def brute_groups(texts: dict, percent: int = 80) -> dict:
     sets = {}
     for i, t in texts.items():
         w = WORD.findall((t or "").translate(LOWER))
@@ -37,7 +38,7 @@ def brute_groups(texts: dict) -> dict:
                 common[j] += 1
             held[s].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
@@ -76,7 +77,7 @@ def as_frame(spark, texts: dict):
 
 
 def test_near_query_equals_brute_force(spark, sf, small):
-    want = brute_groups({r.doc_id: r.text for r in small.collect()})
+    want = brute_groups({r.doc_id: r.text for r in small.collect()}, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op3_near_dedup"](spark, sf).collect()} == want
 
 
@@ -91,10 +92,76 @@ def test_near_on_borderline_families(spark, seed, n, size, changes):
 def test_near_in_blocks_equals_one_task(spark):
     texts = family(5, 80, 120, 9)
     want = brute_groups(texts)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(as_frame(spark, texts), family=2000).collect()}
+    for how in ({"family": 2000}, {"texts": 7, "crowd": 9}):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(as_frame(spark, texts), **how).collect()}
+        assert got == want
+
+
+def test_near_family_of_several_groups(spark):
+    """One family (alike enough for the sketches) of groups that no link connects, and links between blocks only."""
+    r = random.Random(9)
+    base, texts = [f"w{k}" for k in range(400)], {}
+    for g in range(4):
+        own = [f"g{g}x{k}" if k % 60 == 0 else w for k, w in enumerate(base)]
+        for i in range(15):
+            w = list(own)
+            w[r.randrange(400)] = f"v{r.randrange(10**6)}"
+            texts[100 * g + i] = " ".join(w)
+    want = brute_groups(texts, 90)
+    assert len({x[1] for x in want.values()}) == 4
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(as_frame(spark, texts), percent=90, texts=4, crowd=10).collect()}
     assert got == want
 
 
+def doubling(n: int) -> tuple[str, str]:
+    """A sequence of two letters that doubles by its complement, and the complement: they collide under every sum of powers modulo 2^64."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 4096])
+def test_words_that_collide_under_polynomials(spark, n):
+    a, b = doubling(n)
+    texts = {1: a, 2: b} | {10 + k: " ".join([w, *["same"] * 49]) for k, w in enumerate((a, b))}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(as_frame(spark, texts)).collect()} == brute_groups(texts)
+    got = {x.doc_id: (x.n_words, x.n_removed, bytes(x.kept).decode()) for x in substring_dedup.repeats(as_frame(spark, texts)).collect()}
+    assert got == brute_cut(texts)
+
+
+def test_word_hashes_differ():
+    r = random.Random(3)
+    found = {bytes(r.choice(b"ab") for _ in range(r.choice((1, 7, 8, 9, 16, 17, 255, 256, 257, 300)))) for _ in range(3000)}
+    found |= {b"a" * n for n in range(1, 600)} | {x.encode() for n in (256, 1024) for x in doubling(n)}
+    data, off = b"".join(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    data = np.frombuffer(data, np.uint8)
+    assert len(set(word_hashes(data, off[:-1], off[1:]).tolist())) == len(found)
+    again = word_hashes(data[3:], off[:-1][off[:-1] >= 3] - 3, off[1:][off[:-1] >= 3] - 3)
+    assert again.tolist() == word_hashes(data, off[:-1], off[1:])[off[:-1] >= 3].tolist()
+    h = word_hashes(data, off[:-1], off[1:])
+    for k in (1, 2, 25, 50):
+        x = rolling(np.concatenate([h, h]), k)
+        assert (x[: len(h) - k] == x[len(h) : len(h) + len(h) - k]).all() and len(set(x[: len(h)].tolist())) == len(h)
+
+
+def test_a_sieve_lets_all_its_keys_through(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(-500, 6000).selectExpr("if(id < 0, null, id) as x", "id as _bucket")
+    got = sifted(rows, F.col("x"), sieve(keys, "k"), "hit")
+    assert got.columns == ["x", "_bucket", "hit"]
+    hit = [r.x for r in got.filter("hit").collect()]
+    assert set(range(0, 3000, 3)) <= set(hit) and len(hit) < 1010 and None not in hit and got.count() == 6500
+
+
+def test_attached_with_hot_keys(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, if(id % 100 = 1, null, id)) as k", "id")
+    of = spark.createDataFrame([(7, 70, 10_000), (8, 80, 1), (40_000, 1, 1)], "k long, v long, n long")
+    got = [(r.k, r.v) for r in attached(rows, of, "k", "v").collect()]
+    assert len(got) == 30_000 and got.count((7, 70)) == sum(1 for i in range(30_000) if i % 3 == 0 or i == 7) and got.count((8, 80)) == 1
+    assert sum(v is not None for _, v in got) == got.count((7, 70)) + 1
+
+
 def test_near_on_edge_rows(edge, empty):
     rows = near_dedup.groups(edge).collect()
     assert len(rows) == edge.count() and near_dedup.groups(empty).count() == 0
@@ -112,12 +179,12 @@ def test_near_on_edge_rows(edge, empty):
 
 
 def test_near_at_another_threshold(spark):
-    """A pair of similarity 0.818: linked at 80 percent, not at 85."""
+    """A pair of similarity 0.818: linked at 80 percent (as unless told), not at 85."""
     base = [f"w{i}" for i in range(204)]
     other = [f"v{i}" if i in (50, 90, 130, 170) else w for i, w in enumerate(base)]
     docs = as_frame(spark, {1: " ".join(base), 2: " ".join(other)} | {k: " ".join(f"t{k}x{i}" for i in range(50)) for k in range(3, 9)})
-    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, percent=80).collect()) == [1, 3, 4, 5, 6, 7, 8]
-    assert near_dedup.keep_one(docs).count() == 8
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    assert near_dedup.keep_one(docs, percent=85).count() == 8
     assert [near_dedup.depth(x) for x in (80, 85)] == [3, 5] and near_dedup.loose(85) == 92
 
 

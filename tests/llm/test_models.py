@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -15,41 +16,98 @@ from tessera.llm import fingerprint, language, pii, quality, queries
 # --- language ---------------------------------------------------------------------------------------------------------
 
 
-def test_forward_sums_all_segmentations():
+def brute_log(word: bytes, p: np.ndarray, v: language.Pieces) -> np.ndarray:
+    """Log of the sum over all segmentations, place by place, in logarithms."""
+    ids = {x: i for i, x in enumerate(vocabulary())}
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    at = [np.zeros(p.shape[1])]
+    for j in range(1, len(word) + 1):
+        terms = [at[j - k] + logp[ids[word[j - k : j]]] for k in range(1, min(j, v.longest) + 1) if word[j - k : j] in ids]
+        at.append(np.logaddexp.reduce(terms))
+    return at[-1]
+
+
+def vocabulary() -> list[bytes]:
+    import base64
+
+    import public_tokenizers as public
+
+    with open(public.path(language.RANKS), "rb") as f:
+        found = {base64.b64decode(x.split()[0]) for x in f} | {bytes([i]) for i in range(256)}
+    return sorted(x for x in found if b" " not in x[1:])
+
+
+@pytest.fixture(scope="module")
+def unigrams():
     v = language.pieces(None)
-    r = np.random.default_rng(1)
-    p = r.random((v.n + 1, 2)) / v.n
+    p = np.random.default_rng(1).random((v.n + 1, 2)) ** 6 / v.n
     p[-1] = 0
-    grow = (language.SCALE**v.length)[:, None]
-    model = language.Model(["a", "b"], p * grow, None)
-    text = b"hello then x"
-    data, start, end = np.frombuffer(text, np.uint8), np.array([0, 6, 11]), np.array([5, 10, 12])
-    got = model.word_logs(data, start, end)
-    from tessera.llm.common import U64, word_hashes
-
-    def piece(x: bytes) -> np.ndarray:
-        d = np.frombuffer(x, np.uint8)
-        return p[v.find(word_hashes(d, np.array([0]), np.array([len(x)])).astype(U64))[0]]
-
-    for w, row in zip((b" hello", b" then", b" x"), got):
+    return v, p, language.Model(["a", "b"], p * (language.SCALE**v.length)[:, None], None)
+
+
+def word_logs(model, found: list[bytes]) -> np.ndarray:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    return model.word_logs(np.frombuffer(b"".join(found), np.uint8), off[:-1], off[1:])
+
+
+def test_forward_sums_all_segmentations(unigrams):
+    v, p, model = unigrams
+    every = vocabulary()
+    assert v.n == len(every) and v.longest == max(map(len, every)) > 30
+    place = {x: i for i, x in enumerate(every)}
+    for w, row in zip((b" hello", b" then", b" x"), word_logs(model, [b"hello", b"then", b"x"])):
         total = np.zeros(2)
         for cuts in itertools.product([0, 1], repeat=len(w) - 1):
             at, prod = 0, np.ones(2)
             for k, c in enumerate([*cuts, 1], 1):
                 if c:
-                    prod = prod * (piece(w[at:k]) if k - at <= language.PIECE else 0)
+                    prod = prod * (p[place[w[at:k]]] if w[at:k] in place else 0)
                     at = k
             total += prod
         assert np.allclose(row, np.log(total))
 
 
+def test_forward_over_long_and_multibyte_words(unigrams, monkeypatch):
+    v, p, model = unigrams
+    r = random.Random(2)
+    every = [x for x in vocabulary() if len(x) > 8]
+    found = [max(every, key=len).strip(), "你好世界".encode() * 40, "ñandú".encode(), b"a" * 700, bytes(r.randrange(128, 256) for _ in range(100)), b"".join(r.choice(every).strip() for _ in range(60)), b"q"]
+    want = np.array([brute_log(b" " + x, p, v) for x in found])
+    assert np.allclose(word_logs(model, found), want, rtol=1e-9)
+    monkeypatch.setattr(language, "CELLS", 200)  # every longer word in stretches
+    monkeypatch.setattr(language, "LEAST", 100)
+    assert np.allclose(word_logs(model, found), want, rtol=1e-9)
+
+
+def test_expected_counts_are_derivatives(unigrams):
+    """The expected count of a piece is the derivative of the log probability by the logarithm of the piece's."""
+    v, p, model = unigrams
+    buffer, at, size = language.spaced(np.frombuffer(b"internationalisation-of-everything-else", np.uint8), np.array([0, 20]), np.array([20, 39]))
+    lattice = language.Lattice(buffer, at, size, v)
+    got = lattice.expected(model.p, np.array([[2.0, 1.0], [3.0, 0.5]]))
+    assert np.allclose((got[:-1] * v.length[:-1, None]).sum(0), [2 * size[0] + 3 * size[1], size[0] + 0.5 * size[1]])
+    for i in np.unique(lattice.ids)[::7]:
+        up = model.p.copy()
+        up[i] *= 1 + 1e-6
+        change = (lattice.logs(up) - lattice.logs(model.p)) / 1e-6
+        assert np.allclose((change * [[2.0, 1.0], [3.0, 0.5]]).sum(0), got[i], atol=1e-3)
+
+
 def test_long_words_do_not_underflow():
     v = language.pieces(None)
     p = np.full((v.n + 1, 1), 1e-6)
     p[-1] = 0
     model = language.Model(["a"], p * (language.SCALE**v.length)[:, None], None)
     logs = model.text_logs(np.frombuffer(b"a" * 5000, np.uint8), np.array([0, 5000]))
-    assert np.isfinite(logs).all()
+    assert np.isfinite(logs).all() and logs[0, 0] < -5000
+
+
+def test_every_language_is_learned(spark):
+    """Languages with long texts only, with few rows, and rows without doc_id."""
+    rows = [(i, f"the house of birds {i}", "en") for i in range(60)] + [(None, "la casa de los pájaros", "es")] + [(903, "les oiseaux de la maison " * 4000, "fr"), (901, "x", None), (902, None, "de")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
+    assert zlib.crc32(b"903") % 4 != 2 and model.langs == ["en", "es", "fr"]
 
 
 def test_held_out_accuracy(spark, sf, small):
@@ -58,8 +116,6 @@ def test_held_out_accuracy(spark, sf, small):
     assert len(rows) == len(docs)
     out = [rows[d.doc_id].lang_pred == d.lang for d in docs if rows[d.doc_id].held_out and d.lang]
     assert out and sum(out) / len(out) > 0.97
-    import zlib
-
     assert all(rows[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) for d in docs)
 
 
