@@ -1,7 +1,11 @@
 """Corpus pipeline over `documents`: quality classifier, exact dedup, near-dedup, personal data, packing.
 
 Each stage is written as Parquet and read again as the next one's input. All stages but the last return the columns of `documents`; the
-last returns one row per packed piece. Rows without doc_id pass all stages; near-dedup links them with nothing.
+last returns one row per packed piece.
+
+Defined results. Rows without doc_id pass all stages; near-dedup links them with nothing. Null and empty texts: the classifier scores them like any
+other, exact dedup keeps the first, packing gives the end token alone. Empty tables: no rows. Ties and repeated rows: the row with the smallest
+doc_id stays, of rows of equal doc_id the first as numbered. Extra columns, whatever their names, stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more), the row with the smallest doc_id."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Only the stages' results stay in the shared folder."""
     docs, scratch = load(spark, sf_dir), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
+        opened = len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        Scratch.sweep(opened)  # the tables of the stage's operators; its result is written
     return STAGES[-1][1](spark, docs, sf_dir)
