@@ -372,6 +372,14 @@ def walk(text: str) -> tuple[int, list[int]]:
     return level, [places[s] for s in fingerprint.sampled(level, j)]
 
 
+def sample(text: str, at: int) -> int:
+    """Four bits of a character and the one after it, with plain integers."""
+    x, mask = (ord(text[at]) << 21) | (ord(text[at + 1]) if at + 1 < len(text) else 0), (1 << 64) - 1
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ x >> shift) * factor) & mask
+    return (x ^ x >> 31) & 15
+
+
 @pytest.mark.parametrize("few", [0, 3, 24])
 def test_embedding_is_the_walk(monkeypatch, few):
     monkeypatch.setattr(fingerprint, "FEW", few)
@@ -382,7 +390,8 @@ def test_embedding_is_the_walk(monkeypatch, few):
     for t, (level, s), (l2, s2) in zip(texts, got, alone):
         assert level == l2 and s.tolist() == s2.tolist()
         if t:
-            assert (level, len(s)) == (walk(t)[0], len(walk(t)[1]))
+            places = walk(t)[1]
+            assert (level, s.tolist()) == (walk(t)[0], [sample(t, k) for k in places])
         assert fingerprint.parsed(fingerprint.written(level, s))[1].tolist() == s.tolist()
 
 
@@ -415,7 +424,7 @@ def test_successors_over_buckets(spark):
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("after", T.StringType())])
-    got = {r.doc_id: r.after for r in fingerprint.with_successor(df, lambda i, t, a: {"doc_id": i, "after": a}, schema, bucket_bytes=100).collect()}
+    got = {r.doc_id: r.after for r in fingerprint.with_successor(df, lambda i, t, a, *_: {"doc_id": i, "after": a}, schema, bucket_bytes=100).collect()}
     order = sorted(ids, reverse=True)
     assert got == {a: f"text {b}" for a, b in zip(order, order[1:] + order[:1])}
 
@@ -425,27 +434,89 @@ def test_fingerprint_on_edge_rows(edge, empty):
     assert len(rows) == edge.count() and fingerprint.compare_to_edits(empty).count() == 0
     by = cells(fingerprint.compare_to_edits(edge), "doc_id", "n_chars", "fingerprint")
     assert by["11"] == by["3"] and by["30"] == by["31"] == (0, "00")
+    classes = [(r.doc_id, r.class_id) for r in fingerprint.near_classes(edge).collect()]
+    assert len(classes) == edge.count() and fingerprint.near_classes(empty).count() == 0
+    found = dict(classes)
+    assert found[11] == found[3] == 3 and found[31] == 30 and found[20] == found[21] == 20 and {c for i, c in classes if i is None} == {30, None}
+
 
+def brute_classes(marks: dict, least: float = 0.8) -> tuple[dict, list]:
+    up = {i: i for i in marks}
 
-def test_near_pairs(spark):
-    a = prose(1, 800)
-    b = a.replace("river", "brook", 1)
-    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, prose(50, 800, "quick brown foxes jumped lazily beside dozing hounds"))], "doc_id long, text string")
-    got = {(r.doc_id, r.other_id) for r in fingerprint.near_pairs(fingerprint.fingerprints(df)).collect()}
-    assert got == {(2, 1), (3, 1)}
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
+    parts, pairs = {i: fingerprint.parsed(m) for i, m in marks.items()}, []
+    for i in marks:
+        for j in marks:
+            if j < i and fingerprint.likeness(parts[i], parts[j]) >= least:
+                pairs.append((i, j))
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in marks}, pairs
 
-def test_near_pairs_in_crowded_bands(spark):
-    """Pairs of one crowded band, pairs across a change of level, and equal fingerprints."""
+
+def test_classes_against_all_pairs(spark, sf, small):
+    """Every document's class, against likeness of all pairs."""
+    texts = {r.doc_id: r.text or "" for r in small.collect()}
+    marks = {i: fingerprint.written(*m) for i, m in zip(texts, fingerprint.embed(list(texts.values())))}
+    want, pairs = brute_classes(marks)
+    rows = {r.doc_id: r.class_id for r in queries.QUERIES["op9_fingerprint"](spark, sf).collect()}
+    assert sum(rows[i] == rows[j] for i, j in pairs) >= 0.9 * len(pairs) > 0
+    assert all(want[i] == want[c] for i, c in rows.items()) and all(rows[c] == c for c in rows.values())
+
+
+def near_copies(seed: int, n: int, chars: int, edits: int) -> list[str]:
+    r = random.Random(seed)
+    base = "".join(r.choice("abcdefghijklmnop qrstuvwxyz ") for _ in range(chars))
+    out = []
+    for _ in range(n):
+        x = list(base)
+        for _ in range(r.randint(0, edits)):
+            k = r.randrange(len(x))
+            x[k : k + 1] = r.choice([[], [x[k], "#"], ["%"]])
+        out.append("".join(x))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [512, 16])
+def test_recall_of_near_documents(spark, crowd):
+    """Near copies of several lengths, some about a change of level (256, 512 and 1024 characters), against all pairs."""
+    texts = [x for k, (chars, edits) in enumerate([(60, 2), (255, 6), (256, 6), (511, 14), (512, 14), (1024, 30), (3000, 60), (700, 40)]) for x in near_copies(k, 30, chars, edits)]
+    texts += [texts[5], texts[100][:-1], "", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marks = {i: fingerprint.written(*m) for i, m in enumerate(fingerprint.embed(texts))}
+    want, pairs = brute_classes(marks)
+    rows = {r.doc_id: r.class_id for r in fingerprint.near_classes(df, crowd=crowd).collect()}
+    assert len(pairs) > 500 and sum(rows[i] == rows[j] for i, j in pairs) >= 0.97 * len(pairs)
+    assert all(want[i] == want[c] for i, c in rows.items())
+    levels = {(fingerprint.parsed(marks[i])[0], fingerprint.parsed(marks[j])[0]) for i, j in pairs if rows[i] == rows[j]}
+    assert any(a != b for a, b in levels) and rows[len(texts) - 1] == rows[len(texts) - 2] == len(texts) - 2
+    # without the help of other members of a class: bands of the two alone
+    keys = {i: {k for k, x in zip(*fingerprint.banded([marks[i]])[1:])} for i in marks}
+    shared = sum(bool({k.tobytes() for k in keys[i]} & {k.tobytes() for k in keys[j]}) for i, j in pairs if marks[i] != marks[j])
+    assert shared >= 0.9 * sum(marks[i] != marks[j] for i, j in pairs)
+
+
+def test_a_crowded_band_is_compared_whole(spark, monkeypatch):
+    """Sixty unlike fingerprints that share all bands: the only near pair is found, whatever the blocks."""
     r = random.Random(21)
-    start = np.arange(8) % 16
-    marks = {i: (0, np.concatenate([start, [r.randrange(16) for _ in range(120)]]).astype(np.uint8)) for i in range(60)}
-    marks[60] = (0, np.where(np.arange(128) % 8 == 7, (marks[30][1] + (np.arange(128) > 7)) % 16, marks[30][1]).astype(np.uint8))
-    text = prose(3, 200)
-    marks[70], marks[71] = fingerprint.embed([text[:255], text[:256]])
-    marks |= {k: marks[5] for k in (80, 81)}
-    df = spark.createDataFrame([(i, fingerprint.written(*m)) for i, m in marks.items()], "doc_id long, fingerprint string")
-    want = {(i, j) for i in marks for j in marks if j < i < 80 and fingerprint.likeness(marks[i], marks[j]) >= 0.8} | {(80, 5), (81, 5)}
-    assert {(60, 30), (71, 70)} <= want and marks[70][0] != marks[71][0]
+    marks = {i: (0, np.array([r.randrange(16) for _ in range(128)], np.uint8)) for i in range(60)}
+    near = marks[30][1].copy()
+    near[::7] = (near[::7] + 1) % 16
+    marks[60] = (0, near)
+    monkeypatch.setattr(fingerprint, "banded", lambda found: (np.arange(len(found)), np.zeros(len(found), np.uint64), np.ones(len(found), bool)))
+    rows = [(i, fingerprint.written(*m)) for i, m in marks.items()]
     for crowd in (512, 10):
-        assert sorted((x.doc_id, x.other_id) for x in fingerprint.near_pairs(df, crowd=crowd).collect()) == sorted(want)
+        for plain in (12, 100):
+            forest = fingerprint.Forest()
+            blocks = [(x[0], True, x[0] % (1 if crowd > 100 else 7), x[1]) for x in rows]
+            names = sorted({b[2] for b in blocks})
+            monkeypatch.setattr(fingerprint, "PLAIN", plain)
+            for i in names:
+                for j in names:
+                    if i <= j:
+                        fingerprint.compared([b for b in blocks if b[2] in (i, j)], forest, 0.8, i != j)
+            assert forest.stars().to_pydict() == {"a": [60], "b": [30]}
