@@ -124,10 +124,10 @@ def sifted(rows: DataFrame, key: Column, found: DataFrame, flag: str) -> DataFra
 HOT = 10_000
 
 
-def attached(rows: DataFrame, of: DataFrame, key: str, value: str) -> DataFrame:
+def attached(rows: DataFrame, of: DataFrame, key: str, value: str, total: int | None = None) -> DataFrame:
     """rows with `value` from `of`, null where there is none. of: key, value and n, the number of rows that bear the key; one row per key.
-    Hot keys, fewer than HOT, are broadcast and so never gather in one task; the rest meets by hash."""
-    total = rows.count()
+    Hot keys, fewer than HOT, are broadcast and so never gather in one task; the rest meets by hash. total: of the numbers n."""
+    total = rows.count() if total is None else total
     hot = F.broadcast(of.filter(F.col("n") * HOT > total).select(key, value))
     first = rows.join(hot, key, "left")
     rest = first.filter(F.col(value).isNull()).drop(value).join(of.filter(F.col("n") * HOT <= total).select(key, value), key, "left")
@@ -244,15 +244,15 @@ def lowered_bytes(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte ranges, eight bytes at a time, each step a bijection of the state; with `lower`, A-Z count as a-z. Ranges of one
-    length up to eight bytes never collide; longer ones by chance only. Where that is not enough, callers compare words or digests."""
+    length up to eight bytes never collide; longer ones by chance only. Where that is not enough, callers compare words, or take two secret seeds."""
     if not len(start):
         return np.empty(0, U64)
     if lower:
         data = lowered_bytes(data)
     view, size = lanes(data), end - start
-    h = mix((size.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    h = mix((size.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(seed))
     todo, at, left = np.arange(len(size)), start, size
     for k in range(0, LONG_WORD, 8):
         x = mix((h[todo] if k else h) ^ (view[at] & _MASK[np.minimum(left, 8)]))
@@ -262,19 +262,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
             return h
         todo, at, left = todo[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, first byte of each word there): the words with one space between any two of a text."""
-    keep = ~IS_SPACE[data]
-    out = np.where(keep, data, np.uint8(32))
-    after = end[end < len(data)]
-    keep[after[IS_SPACE[data[after]]]] = True
-    return out[keep], (np.cumsum(keep) - 1)[start]
-
-
 def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Hashes of all runs of k consecutive entries of h (as if h were one text)."""
     if len(h) < k:

@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating stars, for graphs of any size.
 
 Each round is two aggregations and a join on node ids; no neighbour list is ever collected. Rounds grow with the logarithm of the size of
-a component. Every round is written to the shared folder, and the one before is dropped. The joins are many-to-one on a node id, so a hub's
-edges are split by adaptive skew joins and not held by anyone.
+a component. Every round is written to the shared folder, and the one before is dropped. What belongs to
+a hub (a node with more than a ten-thousandth of the edges) is broadcast, so its edges stay where they are and are not held by anyone.
 
 Defined results. Edges that are null at an end, or lead from a node to itself, count for nothing. Repeated edges count once. Empty table: no rows.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, column
+from tessera.llm.common import Scratch, attached, column
 
 
 class Forest:
@@ -77,10 +77,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
         if not mark[0]:
             return now
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = attached(both.filter("b > a"), least, "a", "m", 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = attached(large, least, "a", "m", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = scratch.keep(small)
         seen = _mark(after)
         scratch.drop(now)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Scratch, attached, column, joined, load, lowered_bytes, mix, owner, packed, raw, sieve, sifted, slices, windows, word_hashes, words
+from tessera.llm.common import U64, Scratch, attached, column, load, lowered_bytes, mix, owner, packed, raw, sieve, sifted, slices, windows, word_hashes, words
 from tessera.llm.components import Forest, components
 
 WORDS = 5
@@ -94,12 +94,9 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndar
 
 def digests(data: np.ndarray, off: np.ndarray) -> list[bytes | None]:
     """BLAKE2b of the lower-cased words of each text, one space between two; None for a text without words."""
-    start, end, bounds = words(data, off)
-    text, first = joined(lowered_bytes(data), start, end)
-    view, first, size, out = memoryview(text), first.tolist(), (end - start).tolist(), []
-    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        out.append(hashlib.blake2b(view[first[i] : first[j - 1] + size[j - 1]], digest_size=16).digest() if j > i else None)
-    return out
+    whole = lowered_bytes(data).tobytes()
+    parts = (b" ".join(whole[i:j].split()) for i, j in zip(off[:-1].tolist(), off[1:].tolist()))
+    return [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in parts]
 
 
 def signatures(s: np.ndarray, bounds: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
