@@ -157,13 +157,14 @@ class Page:
 
 def read_page(grey: np.ndarray, readers: list[Callable[[np.ndarray], tuple[str, float]]], fallback: Callable[[np.ndarray], str] | None = None) -> Page:
     """IMG5/AGG15: two readers, a third if they disagree; a plain reader where none answers; blank regions are skipped."""
-    from tessera.operators.readings import agreeing, majority
+    from tessera.operators.readings import measured, settled, words_of
 
+    agree = lambda got: len(got) > 1 and measured(*(words_of(t) for t, _ in got[:2]))[3]
     done = []
     for region in (r for r in regions(grey) if ink_share(r) > BLANK_INK):
         got: list[tuple[str, float]] = []
         for i, read in enumerate(readers[:3]):
-            if i == 2 and (len(got) < 2 or agreeing(got[0][0], got[1][0])):
+            if i == 2 and (len(got) < 2 or agree(got)):
                 break
             try:
                 got.append(read(region))
@@ -174,8 +175,8 @@ def read_page(grey: np.ndarray, readers: list[Callable[[np.ndarray], tuple[str,
             if fallback is None:
                 raise OSError("no reader could read the page")
             done.append(Page(fallback(region), cost, fallback=True))
-        elif len(got) > 1 and not agreeing(got[0][0], got[1][0]):
-            text, disputed = majority([t for t, _ in got])
+        elif len(got) > 1 and not agree(got):
+            text, disputed = settled([t for t, _ in got])
             done.append(Page(text, cost, disputed=disputed))
         else:
             done.append(Page(got[0][0], cost))

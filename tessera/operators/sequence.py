@@ -128,4 +128,4 @@ def repeated(df: DataFrame, id: str, order: str, shown: int = 10) -> DataFrame:
 
 def sampled(df: DataFrame, id: str, n: int = 200, seed: int = 7) -> DataFrame:
     """SRC20: n rows in an order that depends on id and seed only."""
-    return df.orderBy(F.xxhash64(F.col(id), F.lit(seed)), id).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.lit(str(seed)))), id).limit(n)

@@ -50,14 +50,14 @@ def result_fields(spark, d):
 @query(f"""with t as (select label, min_by(embedding, vec_id) as e from embeddings group by label), q as (select embedding as e from embeddings where vec_id = 7),
 c as (select 'label ' || label as topic, {_DOT.format(a='t.e', b='q.e')} as closeness from t, q),
 s as (select v.vec_id as id, 'label ' || v.label as topic, greatest(0, {_DOT.format(a='v.embedding', b='q.e')}) as similarity from embeddings v, q order by similarity desc, id limit 100)
-select id, s.topic, round(similarity + 0.25 + 0.8 * coalesce(closeness, 0), 6) as score from s left join c on c.topic = s.topic and c.topic <> 'label 3'""")
+select id, s.topic, round(similarity + (id % 7) / 10 + 0.8 * coalesce(closeness, 0), 6) as score from s left join c on c.topic = s.topic and c.topic <> 'label 3'""")
 def chapter_rank(spark, d):
     """JN6, RNK2, RNK3, RNK5: candidates with the closeness of their chapters; 0 where a chapter is not known."""
     v = _vectors(spark, d)
     q = v.filter("id = 7").select("vec").first()[0]
     titles = v.groupBy("label").agg(F.min_by("vec", "id").alias("vec")).select(F.concat(F.lit("label "), "label").alias("topic"), "vec").filter("topic <> 'label 3'")
     close = vectors.nearest_to(v, q, ranking.pool(5, True, True)).join(v.select("id", F.concat(F.lit("label "), "label").alias("topic")), "id")
-    ranked = close.join(vectors.title_closeness(titles, q), "topic", "left").withColumn("share", F.lit(0.25))
+    ranked = close.join(vectors.title_closeness(titles, q), "topic", "left").withColumn("share", F.col("id") % 7 / 10)
     return ranked.select("id", "topic", F.round(ranking.score("similarity", "share", "closeness", by_title=True), 6).alias("score"))
 
 
@@ -93,17 +93,20 @@ def layers_chosen(spark, d):
     return docs.select("doc_id", chosen.alias("chosen"), tx.bare(F.regexp_extract("text", "^[^ ]*", 0)).alias("key"))
 
 
-@query("select * from (values (1, 's0', 'a'), (1, 's1', 'b')) t(id, code, label)")
+@query("select p_partkey as id, 's' || (p_partkey % 10) as code, p_name as label from part where p_partkey % 5 = 0 union all select p_partkey, 'x', p_brand from part where p_partkey % 5 = 0")
 def edition_codes(spark, d):
-    """TXT33: codes in an edition's metadata; none where it is malformed."""
-    rows = spark.createDataFrame([(1, '{"shorts": {"s0": "a", "s1": "b"}}'), (2, "not json"), (3, None), (4, "{}")], "id int, meta string")
-    return rows.select("id", F.explode(editions.shorts("meta")).alias("code", "label"))
+    """TXT33: codes in an edition's metadata; none where it is malformed, missing, empty or of another shape. Parts as editions."""
+    k = F.col("p_partkey") % 5
+    codes = F.to_json(F.struct(F.create_map(F.concat(F.lit("s"), (F.col("p_partkey") % 10).cast("string")), F.col("p_name"), F.lit("x"), F.col("p_brand")).alias("shorts"), F.lit(1).alias("other")))
+    meta = F.when(k == 0, codes).when(k == 1, F.concat(F.lit("{"), "p_name")).when(k == 2, F.lit("{}")).when(k == 3, F.lit('{"shorts": 5}'))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(editions.shorts(meta)).alias("code", "label"))
 
 
-@query("select page_id, case when ext in ('.json', '.csv') then 'structured' when ext = '.pdf' then 'pdf' when ext in ('.txt', '.md') then 'text' end as kind from (select page_id, ['.json', '.csv', '.pdf', '.txt', '.md', '.exe'][(page_id % 6 + 1)::int] as ext from pages)")
+@query("select page_id, case when ext in ('.json', '.csv') then 'structured' when ext = '.pdf' then 'pdf' when ext = '.docx' then 'docx' when ext in ('.txt', '.md') then 'text' when ext in ('.png', '.jpg') then 'image' end as kind from (select page_id, lower(regexp_extract(name, '(\\.[^./]*)$', 1)) as ext from (select page_id, 'dir.x/' || page_id || ['.JSON', '.csv', '.pdf', '.Txt', '.md', '.exe', '.tar.docx', '', '.', '.PNG', '.jpg', '.csv.bak'][(page_id % 12 + 1)::int] as name from pages))")
 def file_kinds(spark, d):
     """SRC1, SRC2, SET6: how a file is read, by its name."""
-    name = F.concat(F.lit("dir.x/Name"), F.element_at(F.array(*map(F.lit, (".JSON", ".csv", ".pdf", ".Txt", ".md", ".exe"))), (F.col("page_id") % 6 + 1).cast("int")))
+    forms = (".JSON", ".csv", ".pdf", ".Txt", ".md", ".exe", ".tar.docx", "", ".", ".PNG", ".jpg", ".csv.bak")
+    name = F.concat(F.lit("dir.x/"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 12 + 1).cast("int")))
     return table(spark, d, "pages").select("page_id", coll.kind(name).alias("kind"))
 
 
@@ -139,12 +142,12 @@ def sessions_ended(spark, d):
     return registry.end_sessions(sessions, 7, keep=keep or "none").select("token_hash")
 
 
-@query("select c_custkey as id, c_name as username, true as active from customer union all select 999999999, 'new user', true")
+@query("select c_custkey as id, c_name as username, true as active, 3 as visits from customer union all select 999999999, 'new user', true, 3")
 def account_added(spark, d):
     """SNK18, SNK23: a new account under a free name; a column added with its default."""
     admins, _ = _accounts(spark, d)
     new = spark.createDataFrame([(999_999_999, "new user")], "id long, username string")
-    return registry.with_missing_columns(registry.insert_unique(admins, new, F.lower("username"), "the name"), {"active": F.lit(True)})
+    return registry.with_missing_columns(registry.insert_unique(admins, new, F.lower("username"), "the name"), {"active": F.lit(True), "username": F.lit("kept as it is"), "visits": F.lit(3)})
 
 
 @query("select min(c_custkey) as id, min_by(c_name, c_custkey) as username from customer")
@@ -178,10 +181,11 @@ def uploads_in_period(spark, d):
     return reports.uploads(rows, date(1997, 2, 1), date(1997, 6, 30))
 
 
-@query(f"with {_SOURCES} select filename, chunks from src where status = 'ready'")
+@query("select c_name as filename, c_custkey as id from customer where c_custkey % 3 = 0 order by c_custkey % 10 desc, c_custkey limit 25")
 def sources_listed(spark, d):
-    """ORD1: ready sources, the newest first."""
-    return registry.listed(_sources(spark, d).withColumn("id", F.col("filename")), ready_only=True).select("filename", "chunks")
+    """ORD1: ready sources, the newest first; customers as sources, the first twenty-five."""
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("filename"), F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "ready").otherwise("failed").alias("status"), (F.col("c_custkey") % 10).alias("uploaded_at"))
+    return registry.listed(rows, ready_only=True).limit(25).select("filename", "id")
 
 
 @query("select doc_id, source from documents where source <> 'src2'")
@@ -210,10 +214,11 @@ def version_compacted(spark, d):
     return v.read()
 
 
-@query("select count(*) as n from nation where false")
+@query("select n_nationkey, n_name from nation where n_nationkey >= 20")
 def table_emptied(spark, d):
-    """SNK16."""
-    return writers.emptied(table(spark, d, "nation")).agg(F.count(F.lit(1)).alias("n"))
+    """SNK16: a table is emptied, and takes new rows in its old columns."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return writers.emptied(n).unionByName(n.filter("n_nationkey >= 20"))
 
 
 @query("select conv_id::varchar as conv_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from conversations where turn = 0")

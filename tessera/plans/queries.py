@@ -81,6 +81,16 @@ def passage_chunks(spark, d):
     return passages.chunked(table(spark, d, "documents"), "doc_id")
 
 
+@query("""with a as (select 'words' as source, (i - 1)::int as chunk_index, array_to_string(list_transform(range(20), lambda k: 'word'), ' ') as text from range(1, 11) t(i)),
+b as (select 'sentences', i::int, array_to_string(list_transform(range(4), lambda k: 'Number ' || (i * 3 + k + 10) || ' follows the one before it.'), ' ') from range(0, 9) t(i))
+select * from a union all select * from b union all select 'paragraphs', i::int, t from (values (0, 'First paragraph of words'), (1, 'Second one here')) p(i, t)""")
+def passages_cut(spark, d):
+    """TXT3, PRJ6, WIN8: words without stops in lines of 100; thirty sentences of 36 in passages of 150, each of which begins with the last sentence of the one before; paragraphs, one of them of digits."""
+    of = lambda source, text, width, overlap: passages.chunked(spark.createDataFrame([(source, text)], "source string, text string"), "source", width=width, overlap=overlap)
+    sentences = " ".join(f"Number {i + 10} follows the one before it." for i in range(28))
+    return of("words", "word " * 200, 100, 0).union(of("sentences", sentences, 150, 38)).union(of("paragraphs", "First paragraph  of\nwords\n\n12345678 90\n \nSecond one here", 100, 10))
+
+
 @query(r"select doc_id, substr(text, 1, 6000) as embedded, regexp_replace(text, '\s*\n\s*', E'\n\n', 'g') as paragraphs from documents".replace("E'\\n\\n'", "chr(10) || chr(10)"))
 def text_shapes(spark, d):
     """TXT29, TXT30."""
@@ -175,19 +185,24 @@ def vector_unit(spark, d):
 
 
 @query(f"""with t as (select label, min_by(embedding, vec_id) as e from embeddings group by label), q as (select embedding as e from embeddings where vec_id = 3)
-select 'label ' || label as topic, round({_DOT.format(a='t.e', b='q.e')}, 6) as closeness from t, q""")
+select case when label % 3 = 1 then 'باب ' || label else 'label ' || label end as topic, round({_DOT.format(a='t.e', b='q.e')}, 6) as closeness from t, q where label % 3 <> 2""")
 def title_closeness(spark, d):
-    """VEC5, VEC6, FLT10."""
+    """VEC5, VEC6, FLT10: titles named after a narrator, or blank, are left out; a title that occurs twice counts once."""
     v = table(spark, d, "embeddings")
-    titles = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec")).select(F.concat(F.lit("label "), F.col("label")).alias("topic"), "vec")
+    m = F.col("label") % 3
+    name = F.when(m == 0, F.concat(F.lit("label "), "label")).when(m == 1, F.concat(F.lit("باب "), "label")).otherwise(F.when(F.col("label") % 2 == 0, F.concat(F.lit("حَديث "), "label")).otherwise(" "))
+    titles = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec")).select(name.alias("topic"), "vec")
+    titles = titles.unionByName(titles)
     q = v.filter("vec_id = 3").select("embedding").first()[0]
     return vectors.title_closeness(titles, q).select("topic", F.round("closeness", 6).alias("closeness"))
 
 
-@query()
+@query("""with c as (select item_id, ('0x' || right(md5(ch), 2))::int % 64 as place, count(*) as n from (select item_id, unnest(string_split('Query: ' || substr(text, 1, 6000), '')) as ch from benchmark) where ch <> '' group by all)
+select item_id, place::int as place, round((n::double / sqrt(sum(n * n) over (partition by item_id)::double))::float::double, 6) as value from c""")
 def embed_texts(spark, d):
-    """SRC16, EMB1, EMB4, EMB6, EMB7: a vector for each benchmark passage."""
-    return vectors.embed(table(spark, d, "benchmark"), instruction="Query: ").select("item_id", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+    """SRC16, EMB1, EMB4, EMB6, EMB7: a vector for each benchmark passage, place by place."""
+    made = vectors.embed(table(spark, d, "benchmark"), instruction="Query: ")
+    return made.select("item_id", F.posexplode("vec").alias("place", "v")).filter("v > 0").select("item_id", "place", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 _RANK = f"""with q as (select vec_id as query_id, embedding from embeddings where vec_id % 100 = 0),
@@ -422,7 +437,7 @@ def ordered_lookup(spark, d):
     return sequence.ordered_lookup(ids, table(spark, d, "documents"), "doc_id").select("pos", "doc_id", "lang")
 
 
-@query()
+@query("select doc_id from documents order by md5(doc_id || ':7'), doc_id limit 200")
 def sample_fixed(spark, d):
     """SRC20: a sample that depends on ids and seed only."""
     return sequence.sampled(table(spark, d, "documents"), "doc_id").select("doc_id")
@@ -473,12 +488,12 @@ def live_sessions(spark, d):
     return registry.session_admins(sessions, admins, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select(F.col("token_hash").alias("token"), "username")
 
 
-@query("select doc_id, regexp_replace(sha256(source), '^(.{24}).*$', '\\1') || '.txt' as stored, substr(sha1(source), 1, 16) as digest, case when n_chars >= 1048576 then 'MB' else greatest(1, round_even(n_chars / 1024, 0)::bigint) || ' KB' end as size, lower(trim(upper(source))) as account from documents")
+@query("select doc_id, regexp_replace(sha256(source), '^(.{24}).*$', '\\1') || '.txt' as stored, substr(sha1(source), 1, 16) as digest, case when n_chars >= 1048576 then 'MB' else greatest(1, round_even(n_chars / 1024, 0)::bigint) || ' KB' end as size, lower('Élève ' || source) as account from documents")
 def identifiers(spark, d):
     """SCL6, SCL11, SNK14, PRJ4."""
     name = F.concat("source", F.lit(".txt"))
     stored = F.concat(F.substring(F.sha2("source", 256), 1, 24), F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return table(spark, d, "documents").select("doc_id", stored.alias("stored"), sc.source_digest("source").alias("digest"), sc.human_size("n_chars").alias("size"), sc.account_key(F.upper("source")).alias("account"))
+    return table(spark, d, "documents").select("doc_id", stored.alias("stored"), sc.source_digest("source").alias("digest"), sc.human_size("n_chars").alias("size"), sc.account_key(F.concat(F.lit("  ÉLÈVE "), F.upper("source"), F.lit(" "))).alias("account"))
 
 
 @query("select conv_id, turn, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as html, case when length(text) > 80 then substr(text, 1, 79) || '…' else text end as short from conversations")
@@ -487,10 +502,12 @@ def escaped(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", sc.escape_html("text").alias("html"), sc.shortened(sc.guarded("text"), 80).alias("short"))
 
 
-@query("select * from (select 'a' as key, 5 as size, true as open union all select 'b', 3, true union all select 'c', 5, false)")
+@query("select p_name || p_partkey as key, case p_partkey % 4 when 1 then p_size when 2 then p_size else 5 end as size, p_partkey % 4 not in (2, 3) as open from part")
 def settings_defaults(spark, d):
-    """SCL8."""
-    rows = spark.createDataFrame([("a", "{}"), ("b", '{"size": 3}'), ("c", '{"open": false}')], "key string, value string")
+    """SCL8: parts as settings; missing fields take their defaults."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    value = F.when(k == 0, "{}").when(k == 1, F.concat(F.lit('{"size": '), size, F.lit("}"))).when(k == 2, F.concat(F.lit('{"open": false, "size": '), size, F.lit("}"))).otherwise('{"open": false}')
+    rows = table(spark, d, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("key"), value.alias("value"))
     return registry.settings(rows, "size int, open boolean", {"size": 5, "open": True})
 
 
@@ -537,14 +554,25 @@ _NARRATIONS = [
 ]
 
 
-@query()
+_TREES = """select * from (values (1, true, 0, -1, 'النبي ﷺ', 0), (1, true, 1, 0, 'ابن عمر', 1), (1, true, 2, 1, 'نافع', 2), (1, true, 3, 2, 'عمرو بن صالح', 3), (1, true, 4, 3, 'زيد بن خالد', 4), (1, true, 5, 4, 'البخاري', 5),
+(2, true, 0, -1, 'النبي ﷺ', 0), (2, true, 1, 0, 'أنس', 1), (2, true, 2, 1, 'سماك بن حرب', 2), (2, true, 3, 2, 'أبو عوانة', 3), (2, true, 4, 3, 'مسدد', 4), (2, true, 5, 4, 'الترمذي', 5), (2, true, 6, 2, 'وكيع', 3), (2, true, 7, 6, 'هناد', 4), (2, true, 8, 7, 'الترمذي', 5),
+(4, true, 0, -1, 'عائشة', 0), (4, true, 1, 0, 'والد هشام', 1), (4, true, 2, 1, 'هشام', 2), (4, true, 3, 2, 'عبد العزيز (ابن محمد)', 3), (4, true, 4, 3, 'صالح', 4),
+(5, false, 0, -1, 'أبو هريرة', 0), (5, false, 1, 0, 'مسلم', 1)) t(id, extracted, node_id, parent_id, name, depth)"""
+
+
+@query(_TREES.replace("select *", "select id::bigint as id, extracted, node_id, parent_id, name, case when id = 5 and node_id = 0 then 'صحابي' end as grade, depth"))
 def narration_trees(spark, d):
     """GRF1-5, GRF7, GRF13, JN9, SCL9."""
     rows = spark.createDataFrame(_NARRATIONS, "id long, text string, source string").withColumn("sanad", F.array().cast("array<struct<name:string,grade:string>>"))
-    return chains.trees(rows)
+    more = spark.createDataFrame([
+        (4, "حدثنا صالح، حدثنا عبد العزيز، - يعني ابن محمد - عن هشام، عن أبيه، عن عائشة قالت كان يوما حارا", "", None),
+        (5, "حدثنا زيد، عن عمرو، عن أنس", "صحيح مسلم", [("أبو هريرة", "صحابي")]),
+    ], "id long, text string, source string, sanad array<struct<name:string,grade:string>>")
+    return chains.trees(rows.unionByName(more))
 
 
-@query()
+@query("""with n as (select * from (values %s) n(id, text, reference))
+select id || '' as key, 'full' as part, text as embed, reference from n union all select '1~matn', 'matn', 'من حفظ لسانه سلم قلبه وطاب يومه كله', 'صحيح البخاري'""" % ", ".join(f"({i}, '{t}', '{b}')" for i, t, b in _NARRATIONS))
 def narration_matns(spark, d):
     """TXT11, PRJ5, PRJ7, SET5."""
     rows = spark.createDataFrame(_NARRATIONS, "id string, text string, source string".replace("id string", "id long")).withColumn("id", F.col("id").cast("string"))
@@ -569,14 +597,15 @@ def json_records(spark, d):
     return coll.json_records(arrays).select("file", "pos", "id", F.md5("text").alias("text_md5"), "topic")
 
 
-@query()
+@query("""select 'a.json' as file, 'كتاب' as title, pos, id, text, hukm, mohaddith, topic, kept, 'كتاب' as source from (values (0, '5', 'نص أول', 'حسن صحيح', 'الألباني', 'باب الرفق', true), (1, '6', 'نص ثان', '', '', '', true), (2, '7', '', '', '', '', false)) t(pos, id, text, hukm, mohaddith, topic, kept)""")
 def json_books(spark, d):
     """SRC9, SRC21, JN8, FLT9, TXT13, ORD6, AGG9."""
     book = '{"metadata": {"arabic": {"title": "كتاب"}}, "chapters": [{"id": 1, "arabic": "باب الرفق"}], "hadiths": [{"idInBook": 5, "chapterId": 1, "arabic": "نص أول", "english": {"grades": [{"name": "Other", "grade": "Weak"}, {"name": "Al-Albani", "grade": "Hasan Sahih"}]}}, {"id": 6, "chapterId": 2, "arabic": {"text": "نص ثان"}}, {"id": 7, "arabic": ""}]}'
     return coll.with_defaults(coll.json_books(spark.createDataFrame([("a.json", book)], "file string, text string")))
 
 
-@query()
+@query("""select * from (values ('a.csv', 'نص', 0, '1', 'حدثنا فلان عن فلان بكلام طويل بما يكفي', true), ('a.csv', 'نص', 1, '2', '', false), ('a.csv', 'نص', 2, '3', 'plain words only here', false),
+('b.csv', '', 0, '1', 'كلام طويل أول فيه ما يكفي', true), ('b.csv', '', 1, '2', 'كلام طويل ثان فيه ما يكفي', true)) t(file, title, pos, id, text, kept)""")
 def csv_records(spark, d):
     """SRC4, SRC10-12, SCL10."""
     rows = [("a.csv", "رقم;نص\n1;حدثنا فلان عن فلان بكلام طويل بما يكفي\n2;\n3;plain words only here"), ("b.csv", "كلام طويل أول فيه ما يكفي,1\nكلام طويل ثان فيه ما يكفي,2")]
@@ -589,24 +618,50 @@ def markup_plain(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(editions.plain("html")).alias("plain_md5"))
 
 
-@query()
-def edition_records(spark, d):
-    """SRC13, SRC14, JN10-13, GRF9-11, TXT23-26, FLT13, WIN2-7: a small edition from pages to records."""
-    body = "<span data-type='title'>كتاب العلم</span>\n١ - <a href=\"inr://man-1\">زيد</a>، عن <a href=\"inr://man-2\">نافع</a> قال رسول الله: <hadeeth-1>الرفق خير<hadeeth> (١)\n٢ - عن <a href=\"inr://man-3\">أنس</a> قال كان يقول (٢)"
-    pages = spark.createDataFrame([(7, 1, "1", body, "(١) إسناده صحيح، ورجاله ثقات (٢) ضعيف")], "book_id long, page long, part string, body string, foot string")
-    cut = editions.segments(pages)
-    notes = cut.join(pages.select("book_id", "foot"), "book_id").withColumn("notes", editions.notes_of("raw", "foot"))
-    coded = F.lit(None).cast("struct<hukm:string,mohaddith:string>")
-    recs = editions.records(notes.withColumn("book", F.lit("جامع الترمذي")).withColumn("coded", coded))
-    return editions.unique_ids(editions.narrations_only(recs)).select("id", "pos", "text", "matn", "topic", "source", "hukm", F.transform("sanad", lambda n: n["name"]).alias("names"))
+#: A book of three pages: a narration that goes on over a page, a volume, notes of the same number on each page, rulings in the text, in notes and under a code.
+_MAN = '<a href="inr://man-{0}">{1}</a>'.format
+_PAGES = [
+    (7, 1, "1", f"<span data-type='title'>كتاب العلم</span>\n١ - {_MAN(1, 'زيد')}، عن {_MAN(2, 'نافع')} قال رسول الله: <hadeeth-1>«الرفق خير<hadeeth>", "(١) إسناده صحيح، ورجاله ثقات"),
+    (7, 2, "1", f"تتمة (١).\nباب الصبر\n٢ - عن {_MAN(3, 'أنس')} قال كان يقول هذا حديث حسن صحيح (٢)\n٣ - {_MAN(4, 'خالد')}، عن {_MAN(5, 'أبيه')} قال نص", "(١) حاشية الصفحة الثانية (٢) ضعيف\n<s0> صحيح"),
+    (7, 3, "2", "مقدمة المجلد الثاني\n<span data-type='title'>كتاب الصوم</span>\n٣ - مقدمة بلا كلام مروي\n٤ - عن عمر قال من صام ____ تم الكتاب", "<s0> حسن :"),
+    (25794, 1, "1", f"١ - {_MAN(6, 'سفيان')}، ح {_MAN(7, 'عمرو')} عن النبي قال كلام (١)", "(١) إسناده صحيح على شرط الشيخين. رجاله ثقات"),
+]
 
 
-@query()
+@query("""select * from (values ('7-1', 0, 'زيد، عن نافع قال رسول الله: «الرفق خير تتمة.', 'الرفق خير', 'كتاب العلم', 'جامع الترمذي', 'صحيح', 'الألباني', 'النبي ﷺ > نافع > زيد', 'إسناده صحيح، ورجاله ثقات/حاشية الصفحة الثانية'),
+('7-2', 1, 'عن أنس قال كان يقول هذا حديث حسن صحيح', '', 'باب الصبر', 'جامع الترمذي', 'حسن صحيح', 'الترمذي', 'أنس', 'ضعيف\n<s0> صحيح'), ('7-3', 2, 'خالد، عن أبيه قال نص', '', 'باب الصبر', 'جامع الترمذي', '', '', 'والد خالد > خالد', ''),
+('7-4', 4, 'عن عمر قال من صام', '', 'كتاب الصوم', 'جامع الترمذي', '', '', '', ''),
+('25794-1', 0, 'سفيان، ح عمرو عن النبي قال كلام', '', '', 'مسند الإمام أحمد بن حنبل', 'إسناده صحيح على شرط الشيخين', 'شعيب الأرنؤوط وآخرون (مسند أحمد ط الرسالة)', '', 'إسناده صحيح على شرط الشيخين. رجاله ثقات'))
+t(id, pos, text, matn, topic, source, hukm, mohaddith, names, notes)""".replace("إسناده صحيح، ورجاله ثقات/حاشية", "حاشية"))
+def edition_records(spark, d):
+    """SRC13, SRC14, JN10-13, GRF9-11, TXT23-26, TXT33, FLT13, WIN2-7: two small editions from pages to records."""
+    pages = spark.createDataFrame(_PAGES, "book_id long, page long, part string, body string, foot string")
+    catalogue = pages.select("book_id", "page", "part")
+    books_ = spark.createDataFrame([(7, "جامع الترمذي", 1, '{"shorts": {"0": "[حكم الألباني] :"}}'), (25794, "مسند أحمد", 1, "bad"), (9, "كتاب نحو", 2, None)], "book_id long, book_name string, category_id int, meta_data string")
+    have = editions.installed(books_, spark.createDataFrame([(1, "كتب السنة"), (2, "اللغة")], "category_id int, category_name string"), spark.createDataFrame([(7, "7.db"), (25794, "b.db"), (9, "9.db")], "book_id long, path string"), "كتب السنة")
+    exported = editions.exported(pages.drop("part"), catalogue)
+    cut = editions.segments(exported)
+    coded = editions.coded_rulings(cut, editions.noted_rulings(exported, have.select("book_id", "shorts")))
+    cut = cut.join(coded, ["book_id", "pos"], "left").withColumn("coded", F.struct("hukm", "mohaddith")).drop("hukm", "mohaddith")
+    recs = editions.records(cut.join(have.select("book_id", F.col("book_name").alias("book")), "book_id"))
+    recs = editions.unique_ids(editions.narrations_only(recs)).withColumn("names", F.array_join(F.transform("sanad", lambda n: n["name"]), " > "))
+    notes = cut.select("book_id", "pos", F.array_join("notes", "/").alias("notes"))
+    return recs.join(notes, ["book_id", "pos"]).select("id", "pos", "text", "matn", "topic", "source", "hukm", "mohaddith", "names", "notes")
+
+
+@query("""select item_id, case item_id % 3 when 1 then 'x ' || text else text end as text, item_id % 3 = 2 as disputed from benchmark""")
 def reading_votes(spark, d):
-    """TXT16-20: three readings of each benchmark passage, one cut short."""
-    b = table(spark, d, "benchmark")
+    """TXT16-20: three readings of each benchmark passage: the first two agree, or the last two, or none."""
+    b, third = table(spark, d, "benchmark"), F.col("item_id") % 3
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    far = F.concat_ws(" ", *[F.lit(f"other{i}") for i in range(12)])
+    readings_ = [
+        F.when(third == 1, half).otherwise(F.col("text")),
+        F.when(third == 1, F.concat(F.lit("x "), "text")).when(third == 2, far).otherwise(F.concat(F.lit("```\n"), "text", F.lit(" x\n```"))),
+        F.when(third == 1, F.col("text")).when(third == 2, half).otherwise(F.left("text", F.lit(60))),
+    ]
     rows = None
-    for i, t in enumerate((F.col("text"), F.concat(F.lit("x "), "text"), F.left("text", F.lit(60)))):
+    for i, t in enumerate(readings_):
         one = b.select("item_id", F.lit(i).alias("model"), tx.reading_tidy(t).alias("text"))
         rows = one if rows is None else rows.unionByName(one)
     return readings.voted(rows, ["item_id"])

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import queries as core
 from tessera.plans.queries import usage
 from tessera.session import ready
 from tessera.streaming import events as st
@@ -24,8 +25,8 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     usage(spark, d).write.parquet(f"{folder}/in")
     source = st.timed(st.read(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema))
-    days = st.collected(st.daily(source), f"days_{uuid.uuid4().hex[:8]}", f"{folder}/state")
-    return days.select(F.col("day").cast("string").alias("day"), "visits", "searches", "chats")
+    days = st.collected(st.daily(source, exact=True), f"days_{uuid.uuid4().hex[:8]}", f"{folder}/state")
+    return days.select(F.col("day").cast("string").alias("day"), "visits", "searches", "chats", "visitors")
 
 
 def stream_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -40,5 +41,6 @@ def stream_limit(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"stream_daily": stream_daily, "stream_limit": stream_limit}
 ORACLE_SQL = {
-    "stream_daily": """select (ts + interval 3 hour)::date::varchar as day, count(*) filter (event_type = 'view') as visits, count(*) filter (event_type = 'click') as searches, count(*) filter (event_type = 'purchase') as chats from events group by 1""",
+    "stream_limit": core.ORACLE_SQL["rate_limit"].replace("select event_id, user_id, accepted from r", "select r.user_id, e.ts::varchar as ts, accepted from r join events e using (event_id)"),
+    "stream_daily": """select (ts + interval 3 hour)::date::varchar as day, count(*) filter (event_type = 'view') as visits, count(*) filter (event_type = 'click') as searches, count(*) filter (event_type = 'purchase') as chats, count(distinct user_id) as visitors from events group by 1""",
 }

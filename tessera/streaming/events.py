@@ -26,17 +26,20 @@ def timed(events: DataFrame, ts: str = "created_at") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def daily(events: DataFrame, ts: str = "created_at", hours: int = 3, late: str = "1 day") -> DataFrame:
-    """STR2: counts per local day. Visitors are approximate in a stream; the batch report counts them exactly."""
+def daily(events: DataFrame, ts: str = "created_at", hours: int = 3, late: str = "1 day", exact: bool = False) -> DataFrame:
+    """STR2: counts per local day. Visitors are approximate, unless `exact`, which keeps the hashes of a day's visitors as state; the batch report
+    counts them exactly without."""
     start = f"{(24 - hours) % 24} hours"
     counts = [F.count_if(F.col("type") == k).alias(n) for k, n in (("visit", "visits"), ("search", "searches"), ("chat", "chats"))]
+    visitors = F.size(F.collect_set("visitor_hash")) if exact else F.approx_count_distinct("visitor_hash")
     w = F.window(ts, "1 day", startTime=start)
-    out = events.withWatermark(ts, late).groupBy(w).agg(*counts, F.approx_count_distinct("visitor_hash").alias("visitors"))
+    out = events.withWatermark(ts, late).groupBy(w).agg(*counts, visitors.cast("long").alias("visitors"))
     return out.select(F.to_date(F.col("window.start") + F.make_interval(hours=F.lit(hours))).alias("day"), "visits", "searches", "chats", "visitors")
 
 
-def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """STR3: key, time, accepted. State per key: the times of its accepted events within the window, dropped once the window has passed."""
+def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int, late: str | None = None) -> DataFrame:
+    """STR3: key, time, accepted. State per key: the times of its accepted events within the window, dropped once the window has passed. Events that come
+    later than `late` (the window itself, unless given) after newer ones are dropped, as Spark's watermark has it; those before are counted."""
     key_type = events.schema[key].dataType
     out = T.StructType([T.StructField(key, key_type), T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
 
@@ -59,7 +62,7 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int, late
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, ts, "accepted"])
 
-    marked = events.withWatermark(ts, late)
+    marked = events.withWatermark(ts, late or f"{seconds} seconds")
     return marked.groupBy(key).applyInPandasWithState(step, out, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -37,7 +37,8 @@ def test_trees():
     assert paths("حدثني يحيى، عن مالك، عن نافع، أن عبد الله بن عمر كان يقول", "مالك") == ["عبد الله بن عمر > نافع > مالك > يحيى"]
     assert all(chains.tree_of_text(t) is None for t in ("", "حدثنا مسدد", "كلام", "نص بلا سند"))
     assert chains.tree_of_list([("عمر", None), ("الإمام البخاري", "x")], "البخاري").paths() == ["عمر > الإمام البخاري"]
-    assert chains.same("الليث", "ليث") and not chains.same("سماك", "سماك بن حرب") and chains.begins("سماك", "سماك بن حرب")
+    key = chains.key_of
+    assert key("الليث") == key("ليث") and key("سماك") != key("سماك بن حرب") and chains.alike("سماك", "سماك بن حرب") and not chains.alike("محمد", "محمد بن علي") and not chains.alike("سما", "سماك")
 
 
 def test_given_chain_wins_over_wording(spark):
@@ -87,17 +88,44 @@ def test_edition_pieces(spark):
     assert row(t=f"{link('زيد')} ح {link('عمرو')}").select(editions.linked_chain("t")).first()[0] == []
 
 
-def test_front_matter_and_numbers():
-    page = "\n".join(f"{str(i).translate(str.maketrans('0123456789', '٠١٢٣٤٥٦٧٨٩'))} - حدثنا زيد عن عمرو" for i in range(1, 60))
-    got = editions.segment([page], [])
-    assert [g[0][0] for g in got] == list(range(1, 60)) and got[0][1].strip() == "حدثنا زيد عن عمرو"
-    assert editions.segment(["<span data-type='title'>باب أول</span>\n١ - نص"], [])[0][2] == "باب أول"
+BOOK = [
+    (1, "1", "<span data-type='title'>كتاب العلم</span>\n١ - حدثنا زيد عن عمرو (١)", "(١) إسناده صحيح"),
+    (2, "1", "تتمة النص (١).\nباب الرفق\n٢ - حدثني خالد (٢)", "(١) حاشية الصفحة الثانية (٢) ضعيف\n<s0> صحيح"),
+    (5, "2", "مقدمة المجلد\n<span data-type='title'>كتاب الصوم</span>\n٣ - ٤ - (٥) عن أنس ____ تم الكتاب", "<s0> حسن :\n<s1> غيره"),
+]
+
+
+def test_segments_over_pages(spark):
+    """Narrations that go on over pages, topics, volumes, and notes from the page of their mark."""
+    pages = spark.createDataFrame([(7, *x) for x in BOOK], "book_id long, page long, part string, body string, foot string")
+    cut = editions.segments(pages)
+    got = [(r.pos, r.numbers, " ".join(r.raw.split()), r.topic, r.first_page, r.last_page, r.notes) for r in cut.orderBy("pos").collect()]
+    assert got == [
+        (0, [1], "حدثنا زيد عن عمرو (١) تتمة النص (١).", "كتاب العلم", 0, 1, ["إسناده صحيح", "حاشية الصفحة الثانية"]),
+        (1, [2], "حدثني خالد (٢)", "باب الرفق", 1, 1, ["ضعيف\n<s0> صحيح"]),
+        (2, [3, 4, 5], "عن أنس", "كتاب الصوم", 2, 2, []),
+    ]
+    codes = spark.createDataFrame([(7, {"0": "[حكم الألباني] :", "1": "غيره"})], "book_id long, shorts map<string,string>")
+    rules = editions.noted_rulings(pages, codes)
+    assert sorted((r.page, r.hukm, r.mohaddith) for r in rules.collect()) == [(1, "صحيح", "الألباني"), (2, "حسن", "الألباني")]
+    assert sorted((r.pos, r.hukm) for r in editions.coded_rulings(cut, rules).collect()) == [(0, "صحيح"), (2, "حسن")]  # the narration before takes it first: its pages hold it too
+    assert editions.segments(pages.limit(0)).count() == 0
+
+
+def test_front_matter_and_numbers(spark):
+    line = lambda i, t: f"{str(i).translate(str.maketrans('0123456789', '٠١٢٣٤٥٦٧٨٩'))} - {t}"
+    page = "\n".join([line(1, "نقطة"), line(2, "نقطة"), *(line(i, "حدثنا زيد عن عمرو") for i in range(1, 60))])
+    got = editions.segments(spark.createDataFrame([(1, 1, "1", page, "")], "book_id long, page long, part string, body string, foot string")).orderBy("pos").collect()
+    assert [g.numbers for g in got] == [[i] for i in range(1, 60)] and got[0].raw.strip() == "حدثنا زيد عن عمرو" and got[0].pos == 0
 
 
 def test_coded_rulings(spark):
     n = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 1, 2), (1, 2, 2, 3)], "book_id long, pos int, first_page int, last_page int")
-    c = spark.createDataFrame([(1, 0, 0, "صحيح"), (1, 2, 0, "حسن"), (1, 3, 0, "ضعيف")], "book_id long, page int, n int, hukm string")
-    assert sorted((r.pos, r.hukm) for r in editions.coded_rulings(n, c).collect()) == [(0, "صحيح"), (1, "حسن"), (2, "ضعيف")]
+    rules = lambda *rows: spark.createDataFrame([(1, p, k, h, "x") for p, k, h in rows], "book_id long, page int, n int, hukm string, mohaddith string")
+    got = lambda r: sorted((x.pos, x.hukm) for x in editions.coded_rulings(n, r).collect())
+    assert got(rules((0, 0, "صحيح"), (2, 0, "حسن"), (3, 0, "ضعيف"))) == [(0, "صحيح"), (1, "حسن"), (2, "ضعيف")]
+    assert got(rules((0, 0, "أ"), (0, 1, "ب"), (1, 0, "ج"))) == [(0, "أ"), (1, "ج")]
+    assert got(rules((3, 0, "أ"), (3, 1, "ب"))) == [(2, "أ")] and got(rules((9, 0, "أ"))) == []
 
 
 def test_versions_survive_a_failed_write(spark, tmp_path):

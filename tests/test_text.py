@@ -86,13 +86,24 @@ def test_quote_rules(spark):
     assert n == {"plain": 30, "joined": 30}
 
 
-def test_readings():
+def test_readings(spark):
     a = "قال رسول الله صلى الله عليه وسلم إنما الأعمال بالنيات وإنما لكل امرئ ما نوى"
-    assert readings.agreeing(a, a.replace("الأعمال", "الاعمال")) and readings.agreeing(a, a.replace("نوى", "نوي"))
-    assert not readings.agreeing(a, a.replace("رسول الله صلى الله عليه", ""))
-    assert readings.majority(["x", a, a]) == (a, False) and readings.majority(["x"]) == ("x", True)
-    assert readings.majority(["one two three four", "five six seven eight", "nine ten eleven twelve"])[1]
-    assert readings.compared("", "") == (1.0, 0, 0)
+    other, alike, gap = a.replace("الأعمال", "الاعمال"), a.replace("نوى", "نوي"), a.replace("رسول الله صلى الله عليه", "")
+    rows = [(a, other), (a, alike), (a, gap), ("", None), ("١٢ x_y", "x y"), (a, a.replace("بالنيات", "بالنية"))]
+    df = spark.createDataFrame(rows, "a string, b string").select(readings.compare("a", "b").alias("m")).select("m.*")
+    got = [tuple(r) for r in df.collect()]
+    assert [r[3] for r in got] == [True, True, False, True, True, True] and got[3] == (1.0, 0, 0, True) and got[2][1:3] == (5, 5) and got[5][1:3] == (1, 1)
+    for (x, y), m in zip(rows, got):
+        assert readings.measured(readings.words_of(x), readings.words_of(y or "")) == m
+    three = [["x", a, a], ["x"], ["one two three four", "five six seven eight", "nine ten eleven twelve"], [a, gap, other], [gap, "نص بعيد جدا عن غيره", a]]
+    votes = spark.createDataFrame([(k, i, t) for k, texts in enumerate(three) for i, t in enumerate(texts)], "k int, model int, text string")
+    found = {r.k: (r.text, r.disputed) for r in readings.voted(votes, ["k"]).collect()}
+    assert found == {0: (a, False), 1: ("x", True), 2: ("one two three four", True), 3: (a, False), 4: (gap, True)}
+    assert {k: readings.settled(t) for k, t in enumerate(three)} == found
+    read = spark.createDataFrame([(i, 0.5, i % 2 == 0, False) for i in range(100)], "page int, cost double, disputed boolean, fallback boolean")
+    t = readings.totals(read, most=3).first()
+    assert (t.pages, t.cost, t.disputed_pages, t.fallback_pages) == (100, 50.0, "0، 2، 4 و47 غيرها", "")
+    assert tuple(readings.totals(read.limit(0)).first()) == (0, 0.0, "", "")
 
 
 def test_codec_and_scalars(spark):
