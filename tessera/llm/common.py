@@ -47,6 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting that removes a query's shuffle files when the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage and outlive a lost executor. A table can be dropped as soon as the next one is
     written, and all of those that operators opened as soon as their result is; what is left goes when the session ends."""
@@ -67,8 +71,13 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.base}/{self.n}", self.spark.conf
+        was = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # once the table is written, nobody needs the shuffle files behind it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -85,13 +94,6 @@ class Scratch:
         except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is temporary
             pass
 
-    def release(self) -> None:
-        """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 # --- joins that spare the large side ----------------------------------------------------------------------------------
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,7 +176,7 @@ def marked(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), low).alias("doc_id"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for b in slices(whole, "text", CHUNK_CHARS):
                 texts = strings(column(b, "text"))
@@ -338,9 +339,10 @@ def links(nodes: DataFrame, scratch: Scratch, least: float = LEAST, crowd: int =
             which, key, own = banded(column(b, "fingerprint").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(column(b, "node").to_numpy()[which]), pa.array(own)], ["band", "node", "own"])
 
-    rows = scratch.keep(nodes.select("node", "fingerprint").mapInArrow(run, "band long, node long, own boolean"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).filter("n > 1 and own")
-    live = rows.join(sizes.select("band", F.ceil(F.col("n") / crowd).alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = nodes.select("node", "fingerprint").mapInArrow(run, "band long, node long, own boolean")
+    band = W.partitionBy("band")
+    live = rows.withColumns({"n": F.count(F.lit(1)).over(band), "some": F.max("own").over(band)}).filter("n > 1 and some")
+    live = scratch.keep(live.select("band", "node", "own", F.ceil(F.col("n") / crowd).alias("blocks"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     live = live.select("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "own")
     live = live.join(nodes.select("node", "fingerprint"), "node")
@@ -382,7 +384,6 @@ def near_classes(docs: DataFrame, least: float = LEAST, crowd: int = CROWD) -> D
     """One row per row of docs: those of compare_to_edits, and class_id."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
     rows = scratch.keep(compare_to_edits(docs))
-    scratch.release()  # the shuffled texts are not needed any more
     return classed(rows, scratch, least, crowd).select(*_RESULT.names, "class_id")
 
 
