@@ -74,6 +74,11 @@ def unpacked(data: bytes) -> bytes:
 _WINDOW = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
+def _within(values: np.ndarray, n: int) -> np.ndarray:
+    """The 32 bits of each value that follow those which choose its bucket, so they ascend in a bucket."""
+    return ((values * U64(n)) >> U64(32)).astype("<u4")
+
+
 class Slice:
     """The words of a slice and the distinct rolling windows of its documents of at least WINDOW words."""
 
@@ -166,7 +171,7 @@ class Known:
 
 
 def _dealt(slice_: int, values: np.ndarray, n: int, content: list[np.ndarray], own: np.ndarray, answer: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice: its bucket, the content of the values to send (packed, up to three arrays of one entry per value), and a bit for each of the
+    """Rows of a slice: its bucket, the content of the values to send (packed, up to three arrays of one entry per value, the first ascending), and a bit for each of the
     slice's values of that bucket that says which they are (null: all). own: flags of the values to send; answer: flags of values whose answer is
     known already, which go back as masks, dealt by slice."""
     b = _bucket(values, n).astype(np.int64)
@@ -180,7 +185,7 @@ def _dealt(slice_: int, values: np.ndarray, n: int, content: list[np.ndarray], o
         cuts = [*first.tolist(), len(at)]
         for x, i, j, lo, hi in zip(found.tolist(), cuts, cuts[1:], begin.tolist(), end.tolist()):
             sent = None if j - i == hi - lo else np.packbits(flags[lo:hi]).tobytes()
-            parts = [_planes(c[at[i:j]]) for c in content] if sending else []
+            parts = [(_planes if k else _steps)(c[at[i:j]]) for k, c in enumerate(content)] if sending else []
             rows.append((x if sending else -1 - (slice_ % n), x, slice_, *parts, *[None] * (3 - len(parts)), sent, None if sending else np.packbits(np.ones(j - i, bool)).tobytes()))
     kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
     if rows:
@@ -188,16 +193,23 @@ def _dealt(slice_: int, values: np.ndarray, n: int, content: list[np.ndarray], o
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as their first bytes, their second bytes and so on: bytes that hardly vary compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if x.dtype.kind == "i" else x.tobytes()
+    """Numbers as their first bytes, their second bytes and so on, since bytes that hardly vary compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
 def _unplaned(x: bytes, kind: np.dtype) -> np.ndarray:
-    if kind.kind != "i":
-        return np.frombuffer(x, kind)
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending numbers, as planes of the steps between them."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unstepped(x: bytes, kind: np.dtype) -> np.ndarray:
+    return np.cumsum(_unplaned(x, kind), dtype=kind)
+
+
 _DEALT = "deal int, bucket int, slice long, c0 binary, c1 binary, c2 binary, sent binary, mask binary"
 _MASKS = "slice long, bucket int, sent binary, mask binary"
 _PROBE, _SMALLEST = np.dtype([("value", "<u4"), ("flag", "u1")]), np.dtype([("high", "<u8"), ("low", "<u8"), ("least", "<i8")])
@@ -207,7 +219,7 @@ def _answer(got: pa.Table, kind: np.dtype, judge) -> pa.Table:
     """judge(all entries) -> a flag per entry; back come masks of the slices that have one. Known answers pass."""
     if got["deal"][0].as_py() < 0:
         return got.select(["slice", "bucket", "sent", "mask"])
-    columns = [[_unplaned(x, kind[k]) for x in got[f"c{i}"].to_pylist()] for i, k in enumerate(kind.names)]
+    columns = [[(_unplaned if i else _unstepped)(x, kind[k]) for x in got[f"c{i}"].to_pylist()] for i, k in enumerate(kind.names)]
     every = np.empty(sum(map(len, columns[0])), kind)
     for k, c in zip(kind.names, columns):
         every[k] = np.concatenate(c)
@@ -262,7 +274,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 if len(s.values):
                     flag = s.flags()
                     known, _ = hits.of(s.values)
-                    yield from _dealt(r["slice"], s.values, n, [s.values.astype("<u4"), flag], ~known, known)
+                    yield from _dealt(r["slice"], s.values, n, [_within(s.values, n), flag], ~known, known)
                     fresh = (flag == 3) & ~known
                     hits.add(s.values[fresh], flag[fresh])
                 release()
@@ -288,10 +300,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
         return scratch.keep(masks.groupBy("slice").agg(F.collect_list(F.struct("bucket", "sent", "mask")).alias(name)))
 
     first = gathered(table.select("slice", "ids", "off", "data").mapInArrow(probes, _DEALT), _PROBE, _hits, "hits")
-    scratch.release()
     second = table.join(first, "slice").select("slice", "ids", "off", "data", "hits").mapInArrow(candidates, _DEALT)
     second = gathered(second, _SMALLEST, _smaller, "smaller")
-    scratch.release()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
