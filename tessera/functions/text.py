@@ -9,7 +9,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +33,28 @@ STOPWORDS = (
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition (TXT2)."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _normal(form: str) -> Callable[[pa.Array], pa.Array]:
+    def run(x: pa.Array) -> pa.Array:
+        """Only texts beyond ASCII are looked at; Arrow's own kernel for normal forms leaves letters decomposed, so it is not used."""
+        other = pc.invert(pc.fill_null(pc.string_is_ascii(x), True))
+        if not pc.any(other).as_py():
+            return x
+        done = [unicodedata.normalize(form, v) for v in x.filter(other).to_pylist()]
+        return pc.replace_with_mask(x, other, pa.array(done, x.type))
 
+    return run
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+_forms = {form: F.arrow_udf(_normal(form), T.StringType()) for form in ("NFKC", "NFC")}
+
+
+def nfkc(c: Column | str) -> Column:
+    """Compatibility composition (TXT2), over Arrow batches."""
+    return _forms["NFKC"](col(c))
+
+
+def nfc(c: Column | str) -> Column:
+    return _forms["NFC"](col(c))
 
 
 def strip(c: Column | str) -> Column:

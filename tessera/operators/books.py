@@ -78,10 +78,10 @@ def author(name: Column | str) -> Column:
 def matched(df: DataFrame, name: str, dimension: DataFrame, alias: str, value: str, out: str) -> DataFrame:
     """JN7 for a dimension of any size: equal key first, else the longest alias that the name begins with.
 
-    Prefixes of the name, one per distinct alias length, are looked up by an equality join."""
+    Prefixes of the name, one per distinct alias length (all of them), are looked up by an equality join."""
     keyed = dimension.select(book_key(alias).alias("_k"), F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_o"))
     keyed = keyed.groupBy("_k").agg(F.min_by("_v", "_o").alias("_v"))
-    sizes = [r[0] for r in keyed.select(F.length("_k").alias("n")).distinct().orderBy(F.desc("n")).limit(512).collect()]
+    sizes = [r[0] for r in keyed.select(F.length("_k").alias("n")).distinct().orderBy(F.desc("n")).collect()]
     names = df.select(name).distinct().withColumn("_key", book_key(name))
     tries = names.withColumn("_k", F.explode(F.array_distinct(F.array(*[F.substring("_key", 1, n) for n in sizes])))) if sizes else names.withColumn("_k", F.col("_key"))
     best = tries.join(keyed, "_k").groupBy(name).agg(F.max_by("_v", F.length("_k")).alias(out))

@@ -1,7 +1,7 @@
 """Literal quotes: which passages hold a phrase word for word (TXT6, JN1, ORD5).
 
 A phrase is found by its first three words: every passage's runs of three words are looked up among the phrases' first three, and a
-hit is verified on the whole phrase. Up to SMALL phrases are broadcast, and a passage's text then stays beside its runs in the same
+hit is verified on the whole phrase. Up to SMALL phrases of SMALL_BYTES are broadcast, and a passage's text then stays beside its runs in the same
 stage; more phrases are joined by hash, runs alone are shuffled, and texts follow for the hits. Nothing is compared pair by pair.
 """
 
@@ -15,8 +15,8 @@ from tessera.functions import text as tx
 
 # Bounds of the rule that tells a quote from a formula, and the words of transmission in index form.
 MIN_WORDS, LONG_WORDS, MANY, MOST = 3, 8, 20, 60
-#: Phrases that are broadcast at most (counted first); each is a hash, an id and a few words.
-SMALL = 100_000
+#: Phrases that are broadcast at most, and their bytes (both measured first).
+SMALL, SMALL_BYTES = 100_000, 32 << 20
 TRANSMISSION = ("قال", "قالت", "قالا", "قالوا", "عن", "حدثنا", "حدثني", "حدثه", "اخبرنا", "اخبرني", "انبانا", "سمعت", "سمع", "يقول", "رضي")
 
 
@@ -33,7 +33,8 @@ def matches(phrases: DataFrame, passages: DataFrame, unicode: bool = True) -> Da
     runs = F.explode(F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b"), F.slice(w, 3, 1 << 30).alias("c"))).alias("r")
     head = F.xxhash64("r.a", "r.b", "r.c").alias("head")
     held = F.instr(F.concat(F.lit(" "), F.col("body"), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))) > 0
-    if asked.limit(SMALL + 1).count() <= SMALL:
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase") + 32), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= SMALL and size["bytes"] <= SMALL_BYTES:
         hits = passages.select("rowid", "body", runs).select("rowid", "body", head).join(F.broadcast(asked), "head")
     else:
         near = passages.select("rowid", runs).select("rowid", head).join(asked, "head").select("query_id", "rowid", "phrase").distinct()

@@ -1,12 +1,14 @@
 """Sources and their lifecycle as tables: generations, upserts, guarded updates, deletes, accounts (SNK1-9, SNK15-23, SRC17-18, JN2, JN14, FLT1,
 FLT4, FLT16, ORD1, ORD7, AGG6-8, SCL4, SCL8, STR5, STR7).
 
-Tables are immutable DataFrames; an operation returns the next version. A version is published by writing it and then replacing one small
-pointer, so readers see whole versions only.
+Tables are immutable DataFrames; an operation returns the next version. Versions are published by writing them and then one small manifest of a
+new number, so readers see whole versions of all tables only.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,52 +23,123 @@ READY, BUSY, FAILED = "ready", "processing", "failed"
 # --- versions on disk --------------------------------------------------------------------------------------------------
 
 
-class Versions:
-    """SNK3/SNK15/SNK16/STR8: a table as numbered folders and a pointer to the current one. A failed write leaves the pointer, and so the
-    previous version, untouched; compaction rewrites the files of the current version."""
+class Conflict(RuntimeError):
+    """Someone else published in between."""
+
+
+class Catalog:
+    """SNK3/SNK15/SNK16/STR8: tables as folders of their versions, and numbered manifests that name the current version of every table at once.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A manifest is written beside its place and renamed to the next number, which is not there yet; nothing is ever replaced, so a reader finds the
+    highest number and with it a whole, consistent set of tables, before, during and after a publish. Tables are written first: where one fails,
+    those of the same publish are removed and no manifest is written. Versions stay for `grace` seconds after they are out of date, so plans that
+    read them can end."""
+
+    def __init__(self, spark: SparkSession, path: str, grace: float = 86_400):
+        self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/_current")
-        return self.spark.read.text(f"{self.path}/_current").first()[0] if fs.exists(p) else None
-
-    def read(self) -> DataFrame | None:
-        version = self.current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs("_manifests")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
 
-    def publish(self, df: DataFrame, partition: str | None = None, files: int | None = None) -> str:
-        """Writes df as the next version, makes it current, then removes the one before."""
-        before, version = self.current(), uuid.uuid4().hex[:12]
+    def _manifest(self, number: int) -> dict[str, str]:
+        fs, p = self._fs(f"_manifests/{number:012d}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def current(self) -> dict[str, str]:
+        """Version by table; empty where nothing was published."""
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else {}
+
+    def read(self, table: str) -> DataFrame | None:
+        version = self.current().get(table)
+        return self.spark.read.parquet(f"{self.path}/{table}/{version}") if version else None
+
+    def publish(self, tables: dict[str, DataFrame], partition: str | None = None, files: int | None = None) -> dict[str, str]:
+        """Writes new versions of these tables and makes all of them current at once."""
+        numbers, version = self._numbers(), uuid.uuid4().hex[:12]
         try:
-            w = (df.coalesce(files) if files else df).write
-            (w.partitionBy(partition) if partition else w).parquet(f"{self.path}/{version}")
-        except Exception:
-            self.remove(version)
+            for name, df in tables.items():
+                w = (df.coalesce(files) if files else df).write
+                (w.partitionBy(partition) if partition else w).parquet(f"{self.path}/{name}/{version}")
+            manifest = (self._manifest(numbers[-1]) if numbers else {}) | dict.fromkeys(tables, version)
+            self._commit(numbers[-1] + 1 if numbers else 0, manifest)
+        except BaseException:
+            for name in tables:
+                self._remove(f"{name}/{version}")
             raise
-        # the pointer is written beside its place and moved, which file systems do at once
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_next")
-        fs, to = self._fs(f"{self.path}/_current")
-        _, new = self._fs(f"{self.path}/_next")
-        fs.delete(to, True)
-        fs.rename(new, to)
-        if before:
-            self.remove(before)
-        return version
-
-    def compact(self, files: int = 1) -> str | None:
-        now = self.read()
-        return self.publish(now, files=files) if now is not None else None
-
-    def remove(self, version: str) -> None:
-        fs, p = self._fs(f"{self.path}/{version}")
+        self.vacuum()
+        return manifest
+
+    def _commit(self, number: int, manifest: dict[str, str]) -> None:
+        fs, to = self._fs(f"_manifests/{number:012d}")
+        _, new = self._fs(f"_manifests/_{uuid.uuid4().hex}")
+        stream = fs.create(new, False)
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
+        if fs.exists(to) or not fs.rename(new, to):
+            fs.delete(new, False)
+            raise Conflict(f"version {number} of {self.path} is there already")
+
+    def vacuum(self, grace: float | None = None) -> int:
+        """Removes manifests that have been out of date for `grace` seconds, and versions that no remaining manifest names; how many versions went."""
+        grace, numbers, gone = self.grace if grace is None else grace, self._numbers(), 0
+        fs, _ = self._fs("_manifests")
+        for old, after in zip(numbers, numbers[1:]):
+            since = fs.getFileStatus(self._fs(f"_manifests/{after:012d}")[1]).getModificationTime() / 1000
+            if time.time() - since >= grace:
+                kept = {(t, v) for n in numbers if n > old for t, v in self._manifest(n).items()}
+                for t, v in self._manifest(old).items():
+                    if (t, v) not in kept:
+                        self._remove(f"{t}/{v}")
+                        gone += 1
+                self._remove(f"_manifests/{old:012d}")
+        return gone
+
+    def compact(self, tables: list[str] | None = None, file_bytes: int = 128 << 20) -> dict[str, str]:
+        """SNK15: rewrites tables as files of about `file_bytes`."""
+        done = self.current()
+        for name in tables if tables is not None else list(done):
+            if name in done:
+                fs, p = self._fs(f"{name}/{done[name]}")
+                done = self.publish({name: self.read(name)}, files=max(1, -(-fs.getContentSummary(p).getLength() // file_bytes)))
+        return done
+
+    def _remove(self, path: str) -> None:
+        fs, p = self._fs(path)
         fs.delete(p, True)
 
+    def free_bytes(self) -> int:
+        fs, p = self._fs("")
+        fs.mkdirs(p)
+        return fs.getStatus(p).getRemaining()
+
+
+class Versions:
+    """A catalogue of one table."""
+
+    def __init__(self, spark: SparkSession, path: str, grace: float = 86_400):
+        self.catalog = Catalog(spark, path, grace)
+
+    def read(self) -> DataFrame | None:
+        return self.catalog.read("table")
+
+    def publish(self, df: DataFrame, partition: str | None = None, files: int | None = None) -> str:
+        return self.catalog.publish({"table": df}, partition, files)["table"]
+
+    def compact(self) -> str | None:
+        return self.catalog.compact().get("table")
+
 
 # --- rows ----------------------------------------------------------------------------------------------------------------
 
@@ -102,6 +175,13 @@ def insert_unique(stored: DataFrame, new: DataFrame, key: Column, what: str) ->
     return stored.unionByName(new.select(*stored.columns))
 
 
+def bootstrapped(admins: DataFrame, first: DataFrame) -> DataFrame:
+    """SNK18: the first account, only where there is none yet; it must change its password."""
+    if admins.limit(1).count():
+        return admins
+    return admins.unionByName(with_missing_columns(first, {"must_change_password": F.lit(True)}).select(*admins.columns))
+
+
 def delete_ids(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """SNK4."""
     return table.join(ids.select(key).distinct(), key, "left_anti")
@@ -126,6 +206,13 @@ def end_sessions(sessions: DataFrame, admin_id: int, keep: str | None = None) ->
     return sessions.filter(~(own & (F.col("token_hash") != keep)) if keep else ~own)
 
 
+def with_password(admins: DataFrame, sessions: DataFrame, admin_id: int, password_hash: str, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SNK19: an account with a new password, which it need not change again, and the sessions without its other ones."""
+    own = F.col("id") == admin_id
+    new = admins.withColumn("password_hash", F.when(own, F.lit(password_hash)).otherwise(F.col("password_hash"))).withColumn("must_change_password", ~own & F.col("must_change_password"))
+    return new, end_sessions(sessions, admin_id, keep)
+
+
 def live(sessions: DataFrame, now: Column) -> DataFrame:
     """FLT4/STR4."""
     return sessions.filter(F.col("expires_at") > now)

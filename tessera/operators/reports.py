@@ -6,6 +6,8 @@ only computed for rows that pass. Times are UTC: zone-free timestamps, or instan
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -89,13 +91,19 @@ def activity(days: DataFrame) -> DataFrame:
     return days.filter(busy > 0).agg(F.max("visits").alias("peak"), F.coalesce(F.sum("visits"), F.lit(0)).cast("long").alias("total"), F.count(F.lit(1)).alias("days"))
 
 
-def checks(probes: dict[str, object]) -> list[tuple[str, bool | None, str]]:
-    """AGG16: name, outcome and detail of each probe, in the given order; a probe that raises is a row, not an error."""
-    out = []
-    for name, probe in probes.items():
+def checks(probes: dict[str, object], remote: dict[str, object] | None = None) -> list[tuple[str, bool | None, str, float]]:
+    """AGG16: name, outcome, detail and seconds of each probe, in the given order; a probe that raises is a row, not an error. Those of `remote`, which wait
+    for other services, run side by side."""
+
+    def run(probe) -> tuple[bool | None, str, float]:
+        start = time.perf_counter()
         try:
             ok, detail = probe()
         except Exception as e:  # noqa: BLE001  that is the row
             ok, detail = False, f"{type(e).__name__}: {e}"
-        out.append((name, ok, detail))
-    return out
+        return ok, detail, time.perf_counter() - start
+
+    near = [(name, *run(probe)) for name, probe in probes.items()]
+    far = remote or {}
+    with ThreadPoolExecutor(max(1, len(far))) as pool:
+        return near + [(name, *found) for name, found in zip(far, pool.map(run, far.values()))]

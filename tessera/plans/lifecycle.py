@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 from datetime import date
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import passwords
 from tessera.functions import text as tx
 from tessera.functions.scalars import valid_password, valid_username
 from tessera.operators import quotes, ranking, registry, reports, sequence, vectors
 from tessera.plans.queries import _DOT, _NORM_WORDS, _SOURCES, Query, _sources, _vectors
-from tessera.session import table
+from tessera.session import shared_folder, table
 from tessera.sources import collections as coll
 from tessera.sources import editions, writers
 
@@ -32,8 +33,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/plan-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/plan-{uuid.uuid4().hex}"
 
 
 # --- results ---------------------------------------------------------------------------------------------------------------
@@ -221,11 +221,11 @@ def table_emptied(spark, d):
     return writers.emptied(n).unionByName(n.filter("n_nationkey >= 20"))
 
 
-@query("select conv_id::varchar as conv_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from conversations where turn = 0")
+@query("select conv_id || '/' || turn as conv_id, replace(replace(text, chr(10), ' '), chr(13), ' ') as text from conversations")
 def files_round_trip(spark, d):
     """SNK10, SNK11, SNK13: rows written as JSON, sheets and text, and read again."""
     folder = _folder(spark)
-    rows = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").cast("string").alias("conv_id"), F.translate("text", "\n\r", "  ").alias("text"))
+    rows = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("conv_id"), F.translate("text", "\n\r", "  ").alias("text"))
     writers.records_json(rows, f"{folder}/json")
     writers.sheets({"sheet": spark.read.schema(rows.schema).json(f"{folder}/json").select("conv_id")}, folder)
     writers.text_lines(rows, f"{folder}/text")
@@ -234,14 +234,47 @@ def files_round_trip(spark, d):
     return spark.read.schema(rows.schema).json(f"{folder}/json").join(same, "text").join(ids, "conv_id").select("conv_id", "text")
 
 
-@query("select * from (values (0, 'tables', 'true', 'found'), (1, 'key', 'unknown', 'not set'), (2, 'site', 'false', 'OSError: no route')) t(place, name, ok, detail)")
+@query("select * from (values (0, 'tables', 'true', 'found', true), (1, 'key', 'unknown', 'not set', true), (2, 'short key', 'false', 'too short', true), (3, 'site', 'false', 'OSError: no route', true), (4, 'slow', 'true', 'answered', true)) t(place, name, ok, detail, timed)")
 def health_checks(spark, d):
-    """AGG16: probes in a fixed order; a failure is a row."""
+    """AGG16, FLT12: probes in a fixed order, those of other services side by side; a failure is a row; each is timed."""
 
     def site():
         raise OSError("no route")
 
-    n = table(spark, d, "nation").count()
-    found = reports.checks({"tables": lambda: (n > 0, "found"), "key": lambda: (None, "not set"), "site": site})
-    rows = [(i, name, "unknown" if ok is None else str(ok).lower(), detail) for i, (name, ok, detail) in enumerate(found)]
-    return spark.createDataFrame(rows, "place int, name string, ok string, detail string")
+    def slow():
+        time.sleep(0.05)
+        return True, "answered"
+
+    n = table(spark, d, "nation")
+    keys = n.select(passwords.site_key_ok(F.lit("")).alias("unset"), passwords.site_key_ok(F.lit("short")).alias("short")).first()
+    found = reports.checks({"tables": lambda: (n.count() > 0, "found"), "key": lambda: (keys.unset, "not set"), "short key": lambda: (keys.short, "too short")}, {"site": site, "slow": slow})
+    rows = [(i, name, "unknown" if ok is None else str(ok).lower(), detail, seconds >= (0.05 if name == "slow" else 0)) for i, (name, ok, detail, seconds) in enumerate(found)]
+    return spark.createDataFrame(rows, "place int, name string, ok string, detail string, timed boolean")
+
+
+@query("select n_nationkey, true as own, false as other, false as broken, sha256(n_name) as token, length(n_name) >= 10 as site_key from nation")
+def passwords_checked(spark, d):
+    """SCL6, FLT12: a hash accepts its own password only; tokens are stored as digests."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", passwords.password_hash("n_name").alias("h"))
+    return n.select("n_nationkey", passwords.password_matches("n_name", "h").alias("own"), passwords.password_matches(F.concat("n_name", F.lit("x")), "h").alias("other"), passwords.password_matches("n_name", F.lit("scrypt$1$2")).alias("broken"), passwords.token_hash("n_name").alias("token"), passwords.site_key_ok("n_name", 10).alias("site_key"))
+
+
+@query("select c_custkey as id, case when c_custkey = 7 then 'new' else 'old' end as password_hash, c_custkey <> 7 and c_custkey % 2 = 0 as must_change_password, count(event_id) as sessions from customer left join (select event_id, user_id from events where event_type = 'signup' and (user_id <> 7 or event_id = (select min(event_id) from events where event_type = 'signup' and user_id = 7))) e on e.user_id = c_custkey group by all")
+def password_changed(spark, d):
+    """SNK19: an account's new password, and its other sessions ended."""
+    admins, sessions = _accounts(spark, d)
+    keep = sessions.filter("admin_id = 7").agg(F.min_by("token_hash", F.substring("token_hash", 2, 20).cast("long"))).first()[0]
+    admins = admins.select("id", F.lit("old").alias("password_hash"), (F.col("id") % 2 == 0).alias("must_change_password"))
+    admins, sessions = registry.with_password(admins, sessions, 7, "new", keep or "none")
+    counts = sessions.groupBy(F.col("admin_id").alias("id")).agg(F.count(F.lit(1)).alias("sessions"))
+    return admins.join(counts, "id", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)).cast("long"))
+
+
+@query("select c_custkey as id, c_name as username, false as must_change_password from customer union all select 1, 'first', true from (select 1) where false")
+def account_bootstrapped(spark, d):
+    """SNK18: the first account is made only where there is none."""
+    admins = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.lit(False).alias("must_change_password"))
+    first = spark.createDataFrame([(-1, "first")], "id long, username string")
+    empty = registry.bootstrapped(admins.limit(0), first)
+    # on the empty table it is made; it is taken out again to show that the full table stays as it is
+    return registry.bootstrapped(admins, first).join(empty.select("id"), "id", "left_anti").unionByName(empty.filter("not must_change_password or username <> 'first'"))

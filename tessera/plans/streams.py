@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,12 @@ from pyspark.sql import functions as F
 
 from tessera.plans import queries as core
 from tessera.plans.queries import usage
-from tessera.session import ready
+from tessera.session import ready, shared_folder
 from tessera.streaming import events as st
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:

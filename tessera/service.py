@@ -30,16 +30,17 @@ EVENTS = "type string, visitor_hash string, query string, result string, latency
 
 class Library:
     """make: builds an embedder per task (EMB1); dim: its dimension; salt: of visitors' hashes; instructions: put before queries and before
-    titles searched for, for models that take them (EMB4; see operators.vectors)."""
+    titles searched for, for models that take them (EMB4; see operators.vectors). model: its name, kept with the vectors; a library refuses
+    vectors of another model or dimension (VEC4)."""
 
-    def __init__(self, spark: SparkSession, path: str, make: Callable[[], vectors.Embedder] = vectors.bag_of_characters, dim: int = 64, salt: str = "salt", query_instruction: str = "", title_instruction: str = ""):
+    def __init__(self, spark: SparkSession, path: str, make: Callable[[], vectors.Embedder] = vectors.bag_of_characters, dim: int = 64, salt: str = "salt", query_instruction: str = "", title_instruction: str = "", model: str = "bag of characters"):
         self.spark, self.path, self.make, self.dim, self.salt = ready(spark), path.rstrip("/"), make, dim, salt
-        self.query_instruction, self.title_instruction = query_instruction, title_instruction
-        self.tables = {name: registry.Versions(spark, f"{self.path}/{name}") for name in ("items", "passages", "sources")}
+        self.query_instruction, self.title_instruction, self.model = query_instruction, title_instruction, model
+        self.catalog = registry.Catalog(spark, self.path)
 
     def read(self, name: str) -> DataFrame:
         schema = {"items": ITEMS, "passages": PASSAGES, "sources": SOURCES}[name]
-        found = self.tables[name].read()
+        found = self.catalog.read(name)
         return found if found is not None else self.spark.createDataFrame([], schema)
 
     # --- uploads (SRC1, PRJ5-7, SNK1-3, SNK20-21, STR5, STR7) ---
@@ -47,13 +48,18 @@ class Library:
     def add(self, files: DataFrame) -> DataFrame:
         """SNK21: files (path, length, content) become the next generation of their sources; (filename, ok, chunks, error) per file.
 
-        A file that cannot be read, or holds nothing to index, fails on its own: its previous generation stays."""
+        A file that cannot be read, or holds nothing to index, fails on its own: its previous generation stays. Texts, vectors and sources are published
+        at once (SNK3), after the library has made sure that its vectors are of this model (SNK1, VEC4) and that there is room for them (SNK17)."""
+        vectors.same_model(self.read("items"), self.model, self.dim)
         named = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "path", "length", "content").withColumn("how", coll.kind("path"))
         items = self._record_items(named).unionByName(self._document_items(named))
         vectors_ = vectors.checked(vectors.embed(items, "embed", "vec", self.make), self.dim).drop("embed")
-        made = registry.Versions(self.spark, f"{self.path}/_upload")
+        made = registry.Versions(self.spark, f"{self.path}/_upload", grace=3600)
         made.publish(vectors_)  # computed once; an error here leaves every published table as it was
         new = made.read()
+        needed, free = passages.size_estimate(new, self.dim).first()["bytes"] or 0, self.catalog.free_bytes()
+        if needed > free:
+            raise ValueError(f"the upload needs about {needed / 2**20:.0f} MB, and {free / 2**20:.0f} MB are free")
         done = new.groupBy("source").agg(F.count_if(F.col("part") != "matn").alias("chunks"), F.sum(F.length("text")).alias("characters"))
         result = named.select(F.col("file").alias("filename"), "how").join(done, F.col("filename") == done["source"], "left")
         result = result.select("filename", F.when(F.col("how") == "structured", "structured_hadith").otherwise("document").alias("kind"), F.col("chunks").isNotNull().alias("ok"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("characters", F.lit(0)).cast("long").alias("characters"), F.when(F.col("how").isNull(), "unsupported file").when(F.col("chunks").isNull(), "nothing to index").alias("error"))
@@ -66,13 +72,14 @@ class Library:
             last += r.chunks
         before = self.spark.createDataFrame(firsts, "source string, first long")
         texts = texts.join(before, "source").select((F.col("n") + F.col("first")).cast("long").alias("rowid"), F.col("id").alias("item_id"), "source", "text")
-        self.tables["passages"].publish(registry.replace_generation(self.read("passages"), quotes.with_body(texts)))
-        self.tables["items"].publish(registry.replace_generation(self.read("items"), new.drop("text", "pos")))
+        next_items = registry.replace_generation(self.read("items"), new.drop("text", "pos"))
         rows = result.select("filename", "kind", F.when(F.col("ok"), registry.READY).otherwise(registry.FAILED).alias("status"), "chunks", "characters", "error", F.current_timestamp().alias("uploaded_at"))
         old = self.read("sources")
         kept = old.join(result.filter("not ok").select("filename"), "filename", "left_semi").filter(F.col("status") == registry.READY)  # a failure keeps the previous version
         new_rows = rows.join(kept.select("filename"), "filename", "left_anti")
-        self.tables["sources"].publish(old.join(new_rows.select("filename"), "filename", "left_anti").unionByName(new_rows.select(*old.columns)))
+        next_sources = old.join(new_rows.select("filename"), "filename", "left_anti").unionByName(new_rows.select(*old.columns))
+        next_passages = registry.replace_generation(self.read("passages"), quotes.with_body(texts))
+        self.catalog.publish({"passages": next_passages, "items": vectors.with_model(next_items, self.model, self.dim), "sources": next_sources})
         return result
 
     def _keyed(self, rows: DataFrame, prefix: str) -> DataFrame:
@@ -111,17 +118,16 @@ class Library:
     def delete(self, filename: str) -> None:
         """SNK20."""
         done = registry.delete_source({"items": self.read("items"), "passages": self.read("passages")}, self.read("sources"), filename)
-        for name, df in done.items():
-            self.tables[name].publish(df)
+        done["items"] = vectors.with_model(done["items"], self.model, self.dim)
+        self.catalog.publish(done)
 
     def recover(self) -> None:
         """STR7."""
-        self.tables["sources"].publish(registry.recovered(self.read("sources")))
+        self.catalog.publish({"sources": registry.recovered(self.read("sources"))})
 
-    def compact(self, files: int = 1) -> None:
+    def compact(self) -> None:
         """SNK15."""
-        for t in self.tables.values():
-            t.compact(files)
+        self.catalog.compact()
 
     # --- search (RNK1-6) ---
 
@@ -132,6 +138,7 @@ class Library:
             raise ValueError("top_k is 1 to 20")
         queries = queries.select("query_id", "query").filter(~tx.blank(tx.clean("query")) & (F.length("query") <= 2000))
         items, texts = self.read("items"), self.read("passages")
+        vectors.same_model(items, self.model, self.dim)
         exact = quotes.quotes(queries, texts).join(texts.select("rowid", F.col("item_id").alias("id")), "rowid").select("query_id", "rowid", "id", F.lit(1.0).alias("similarity"))
         q = vectors.embed(queries.select("query_id", tx.clean("query").alias("query")), "query", "vec", self.make, instruction=self.query_instruction).select("query_id", "vec")
         k = ranking.pool(top_k, subject=True, by_title=by_title)

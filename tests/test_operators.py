@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import passwords
 from tessera.operators import chains, images, ranking, registry, reports, sequence, vectors
 from tessera.sources import collections as coll
 from tessera.sources import documents, editions, writers
@@ -137,7 +138,99 @@ def test_versions_survive_a_failed_write(spark, tmp_path):
     assert v.read().count() == 3
     v.publish(spark.range(5))
     assert v.read().count() == 5 and v.compact() and v.read().count() == 5
-    assert writers.removed(spark, str(tmp_path / "t"), "_cur*") >= 0
+    (tmp_path / "x.tmp").write_text("x")
+    assert writers.removed(spark, str(tmp_path), "x*") == 1
+
+
+def test_tables_are_published_at_once(spark, tmp_path):
+    """Readers during and after a publish, a failure between tables, an old version read afterwards, and two at the same time."""
+    c = registry.Catalog(spark, str(tmp_path / "c"))
+    c.publish({"a": spark.range(1), "b": spark.range(10)})
+    old = c.read("a"), c.read("b")
+    seen = []
+
+    class Watching(registry.Catalog):
+        def _commit(self, number, manifest):
+            seen.append((c.read("a").count(), c.read("b").count()))  # both tables are written, neither is current
+            super()._commit(number, manifest)
+            seen.append((c.read("a").count(), c.read("b").count()))
+
+    Watching(spark, c.path).publish({"a": spark.range(2), "b": spark.range(20)})
+    assert seen == [(1, 10), (2, 20)] and (old[0].count(), old[1].count()) == (1, 10)
+    before = c.current()
+    with pytest.raises(Exception):
+        c.publish({"a": spark.range(3), "b": spark.range(1).select(F.raise_error(F.lit("no")).alias("id"))})
+    assert c.current() == before and len(list((tmp_path / "c" / "a").iterdir())) == 2 and len(list((tmp_path / "c" / "b").iterdir())) == 2
+
+    class Late(registry.Catalog):
+        def _commit(self, number, manifest):
+            c.publish({"a": spark.range(4)})
+            super()._commit(number, manifest)
+
+    with pytest.raises(registry.Conflict):
+        Late(spark, c.path).publish({"a": spark.range(5)})
+    assert c.read("a").count() == 4 and c.read("b").count() == 20
+    assert c.vacuum(0) == 3 and old[1].schema == c.read("b").schema and c.read("b").count() == 20 and len(list((tmp_path / "c" / "a").iterdir())) == 1
+    assert c.free_bytes() > 0
+
+
+def test_accounts_and_passwords(spark):
+    none = spark.createDataFrame([], "id long, username string, must_change_password boolean")
+    first = registry.bootstrapped(none, spark.createDataFrame([(1, "a")], "id long, username string"))
+    assert [tuple(r) for r in first.collect()] == [(1, "a", True)]
+    assert registry.bootstrapped(first, spark.createDataFrame([(2, "b")], "id long, username string")).count() == 1
+    h = passwords.hashed("secret words")
+    assert passwords.matches("secret words", h) and not passwords.matches("other", h) and not passwords.matches(None, h) and not passwords.matches("x", "md5$1") and h != passwords.hashed("secret words")
+    assert len({passwords.new_token() for _ in range(9)}) == 9
+
+
+def test_provider(spark):
+    """Refusals, a short reply, order over batches, and a bound on what runs at once."""
+    import threading
+    import time as clock
+
+    running, most, calls, lock = [0], [0], [], threading.Lock()
+
+    def send(texts):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            calls.append(texts)
+            turn = len(calls)
+        clock.sleep(0.01)
+        with lock:
+            running[0] -= 1
+        if turn in (2, 5):
+            raise vectors.Refused(0.01)
+        return {"data": [{"index": i, "embedding": [float(t), 1.0]} for i, t in reversed(list(enumerate(texts)))]}
+
+    embedder = vectors.provider(send, 2, batch=3, at_once=4, sleep=lambda _: None)()
+    got = embedder([str(i) for i in range(20)])
+    want = np.array([[i, 1.0] for i in range(20)])
+    assert np.allclose(got, want / np.linalg.norm(want, axis=1, keepdims=True)) and most[0] <= 4 and len(calls) == 9
+    assert embedder([]).shape == (0, 2)
+    with pytest.raises(vectors.Refused):
+        vectors.provider(lambda t: (_ for _ in ()).throw(vectors.Refused()), 2, attempts=2, sleep=lambda _: None)()(["x"])
+    with pytest.raises(ValueError):
+        vectors.provider(lambda t: {"data": []}, 2)()(["x"])
+
+
+def test_nearest_over_cells(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 8)).round(1)
+    x[200:] = x[:100]  # ties
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, vec array<float>").repartition(5)
+    q = v.filter("id % 7 = 0").select(F.col("id").alias("query_id"), "vec")
+    x = x.astype(np.float32).astype(float)
+    for block, slots, parts in ((1024, 64, 3), (5, 4, 2)):
+        got = {}
+        for row in vectors.nearest(q, v, 6, block=block, slots=slots, parts=parts).orderBy("query_id", "pos").collect():
+            got.setdefault(row.query_id, []).append(row.id)
+        for i in range(0, 300, 7):
+            s = np.maximum(0, x @ x[i])
+            assert got[i] == np.lexsort((np.arange(300), -s))[:6].tolist()
+    plan = vectors.nearest(q, v, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_accounts(spark):

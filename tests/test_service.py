@@ -71,6 +71,20 @@ def test_second_upload_replaces_and_delete_removes(spark, library, tmp_path):
     assert library.read("items").filter("source = 'notes.txt'").count() == 0 and library.read("sources").filter("filename = 'notes.txt'").count() == 0
 
 
+def test_another_model_and_too_little_room_are_refused(spark, library, tmp_path, monkeypatch):
+    (tmp_path / "more.txt").write_text("A passage about something else entirely.", "utf-8")
+    files, before = coll.files(spark, str(tmp_path)), library.catalog.current()
+    for other in (Library(spark, library.path, model="other"), Library(spark, library.path, dim=32)):
+        with pytest.raises(ValueError):
+            other.add(files)
+        with pytest.raises(ValueError):
+            other.search(spark.createDataFrame([("a", "rivers and stones")], "query_id string, query string"), 2)
+    monkeypatch.setattr(library.catalog, "free_bytes", lambda: 100)
+    with pytest.raises(ValueError, match="free"):
+        library.add(files)
+    assert library.catalog.current() == before
+
+
 def test_events_and_report(spark, library):
     rows = [("visit", "v", None, None, None, datetime(2024, 1, 1, 22)), ("search", "v", "q", "found", 120, datetime(2024, 1, 2, 1)), ("bad", "v", None, None, None, datetime(2024, 1, 2))]
     library.record(spark.createDataFrame(rows, "type string, visitor_id string, query string, result string, latency_ms int, created_at timestamp"))
