@@ -8,7 +8,8 @@ up to fill the gaps of the others, and the last one is cut into powers of two, s
 Tokens come from a per-process table of words: the tokenizer drops white space and never merges across it, so a text's ids are its
 words' ids, concatenated. Words are split at ASCII blanks and line ends only. A word of plain letters (no character from U+0130 on, for which
 normal forms and lower case are simple) is split by the tokenizer's own pattern, and the library's merge model gives each part's ids; any
-other word, and one that may hold a special token, goes through the whole tokenizer.
+other word, and one that may hold a special token, goes through the whole tokenizer. A tokenizer file of another make (its normal form, split or
+model are compared with those that all this is true of) encodes whole texts, without tables.
 
 Defined results. Null or empty text: one piece, the end id alone. Empty table: no rows. Rows with the same doc_id are packed each, and
 their pieces carry the same doc_id. Null doc_id is packed too. Columns other than doc_id and text are not read.
@@ -16,6 +17,7 @@ their pieces carry the same doc_id. Null doc_id is packed too. Columns other tha
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,12 @@ SEED = 7
 TABLE_WORDS, TABLE_CHARS, BATCH_BYTES = 200_000, 48, 1 << 20
 
 
+#: What tables of words are right for: normal form, split and model of the tokenizer.
+_MADE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 #: The tokenizer's split pattern, and the words whose normal form is their lower case.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[!-~\xa1-\u012f]+")
@@ -65,7 +73,9 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path or public.path(VOCABULARY))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.model, spec = self.tokenizer.model, json.loads(self.tokenizer.to_str())
+        added = [x["content"] for x in spec["added_tokens"]]
+        self.by_words = all(spec.get(k) == v for k, v in _MADE.items()) and spec["model"]["type"] == "BPE" and all(x.startswith("<|") for x in added)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.kind = "H" if self.dtype == "<u2" else "I"
         self.letters = _byte_letters()
@@ -111,6 +121,8 @@ def encode_texts(texts: list[str], path: str | None = None) -> list[bytes]:
     t = table(path)
     t.rest.clear()
     end = np.array([END_ID], t.dtype).tobytes()
+    if not t.by_words:
+        return [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, t.dtype).tobytes() + end for x in texts]
     return [b"".join(map(t.__getitem__, x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) + end for x in texts]
 
 

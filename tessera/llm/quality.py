@@ -1,12 +1,12 @@
 """Quality classifier: regularised quadratic discriminant on transformed document statistics.
 
 Each document becomes a vector of logarithms of simple statistics (length, word length, shares of character classes, repetition). Per
-class: mean and covariance, shrunk towards the pooled covariance and towards a scaled identity; Cholesky factors are kept with the model,
-and a score is the logistic of the difference of log densities (with class priors). The fit uses moments added up over all labelled
+class: mean and covariance, shrunk towards the pooled covariance (the more, the fewer rows the class has) and towards a scaled identity. The model
+keeps the inverses of the Cholesky factors, made once, so a batch of documents costs one product per class, and a score is the logistic of the difference of log densities (with class priors). The fit uses moments added up over all labelled
 training rows; no sample is drawn, and only sums of fixed size (classes x dimensions squared) reach the driver.
 
 Defined results. Null or empty text: the statistics of an empty text, scored like any other. Empty documents: no rows. No training label
-at all: every score is 0.5; labels of one class only: every score is that class. Repeated rows are scored each; a label row that occurs
+at all: every score is 0.5; labels of one class only: every score is that class; one row of a class is enough to tell it apart. Repeated rows are scored each; a label row that occurs
 n times weighs n times. Null labels are not used. Extra columns are ignored.
 """
 
@@ -70,32 +70,33 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Model:
     prior: tuple[float, float]
     means: list[np.ndarray]
-    factors: list[np.ndarray]  # lower Cholesky factors
+    inverses: list[np.ndarray]  # of the lower Cholesky factors
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.means:
             return np.full(len(x), self.prior[1])
         logs = []
-        for p, m, low in zip(self.prior, self.means, self.factors):
-            z = np.linalg.solve(low, (x - m).T) if len(x) else np.empty((len(m), 0))
-            logs.append(np.log(p) - np.log(np.diag(low)).sum() - 0.5 * (z**2).sum(0))
+        for p, m, inverse in zip(self.prior, self.means, self.inverses):
+            z = (x - m) @ inverse.T
+            logs.append(np.log(p) + np.log(np.diag(inverse)).sum() - 0.5 * (z**2).sum(1))
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -LARGEST, LARGEST)))
 
 
 def discriminant(moments: dict[int, np.ndarray], d: int = DIMENSIONS, pooled: float = POOLED, ridge: float = RIDGE) -> Model:
     """moments: by class, the count, the sums and the sums of products, in one vector."""
     n = [float(moments[c][0]) if c in moments else 0.0 for c in (0, 1)]
-    if min(n) < 2:
+    if min(n) < 1:
         return Model((0, 0.5 if not sum(n) else float(n[1] > n[0])), [], [])
     means = [moments[c][1 : d + 1] / n[c] for c in (0, 1)]
     own = [moments[c][d + 1 :].reshape(d, d) / n[c] - np.outer(means[c], means[c]) for c in (0, 1)]
     both = (n[0] * own[0] + n[1] * own[1]) / sum(n)
-    factors = []
-    for s in own:
-        s = (1 - pooled) * s + pooled * both
+    inverses = []
+    for s, rows in zip(own, n):
+        share = max(pooled, (d + 1) / (rows + d + 1))
+        s = (1 - share) * s + share * both
         s = (1 - ridge) * s + ridge * np.diag(np.maximum(np.diag(both), 1e-6)) + 1e-9 * np.eye(d)
-        factors.append(np.linalg.cholesky(s))
-    return Model((n[0] / sum(n), n[1] / sum(n)), means, factors)
+        inverses.append(np.linalg.inv(np.linalg.cholesky(s)))
+    return Model((n[0] / sum(n), n[1] / sum(n)), means, inverses)
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -147,6 +147,45 @@ def test_discriminant_is_the_formula():
     assert np.allclose(model.scores(q), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
 
 
+def plain_statistics(text: str) -> list[float]:
+    """The statistics of a text one by one."""
+    import math
+
+    data = text.encode()
+    has = lambda chars: sum(data.count(c) for c in chars.encode())
+    inside = sum(0x80 <= b < 0xC0 for b in data)
+    words = data.split()
+    chars, n = max(1, len(data) - inside), len(words)
+    some = max(1, n)
+    mean = sum(map(len, words)) / some
+    spread = math.sqrt(max(0, sum(len(w) ** 2 for w in words) / some - mean**2))
+    upper = has("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    letters = max(1, upper + has("abcdefghijklmnopqrstuvwxyz") + sum(b >= 0xC0 for b in data))
+    signs, odd = "#$%&*@~^_=+<>\\/{}[]`", "!"
+    marked = sum(chr(w[-1]) in signs or chr(w[-1]) in odd for w in words) / some
+    three = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    return [
+        math.log(n + 1), math.log(mean + 0.5), math.log(spread + 0.5), math.log(upper / letters + 0.01), math.log(has("0123456789") / chars + 0.01), math.log(has(signs) / chars + 0.005), math.log(has(odd) / chars + 0.005),
+        math.log(has("|") / chars + 0.005), math.log(has("\n\r\x0b\x0c") / some + 0.02), math.log(marked + 0.02), math.log(len(set(words)) / some + 0.05), math.log(1 - len(set(three)) / max(1, len(three)) + 0.02),
+    ]
+
+
+def test_statistics_one_by_one(small):
+    texts = [r.text or "" for r in small.limit(60).collect()] + ["", " ", "A b A b A b", "é ñ 你好! x_ $$$|", "one\ntwo\x0bthree", "x" * 5000]
+    data = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+@pytest.mark.parametrize(("n0", "n1"), [(1, 1000), (1, 1), (1000, 1), (2, 2)])
+def test_one_row_of_a_class_is_enough(n0, n1):
+    r = np.random.default_rng(n0)
+    d = quality.DIMENSIONS
+    x = {0: r.normal(0, 1, (n0, d)), 1: r.normal(6, 1, (n1, d))}
+    model = quality.discriminant({c: np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]) for c, v in x.items()})
+    assert model.scores(x[0][:1])[0] < 0.5 < model.scores(x[1][:1])[0]
+
+
 def test_held_out_quality(spark, sf):
     from tessera.llm.common import load
 

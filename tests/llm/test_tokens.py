@@ -36,6 +36,15 @@ def test_word_table_is_the_tokenizer(text):
     assert got == packing.table(None).tokenizer.encode(text, add_special_tokens=False).ids + [packing.END_ID]
 
 
+def test_another_tokenizer_encodes_whole_texts():
+    path = public.path("byte_bpe_50k.json")
+    t = packing.table(path)
+    assert packing.table(None).by_words and not t.by_words
+    for text in ("Hello World, It is 2024 fine", "", " a\n\nB  c ", "é<|endoftext|>x"):
+        got = np.frombuffer(packing.encode_texts([text], path)[0], t.dtype).tolist()
+        assert got == t.tokenizer.encode(text, add_special_tokens=False).ids + [packing.END_ID]
+
+
 def test_byte_bpe_round_trip_on_edge_rows(edge):
     enc = bpe.encoding(None)
     ids = bpe.encode(edge).collect()
