@@ -4,9 +4,9 @@ import pytest
 from compare import difference, spark_rows
 
 import __spark_entry__ as entry
-from tessera.plans import lifecycle, queries, streams
+from tessera.plans import arabic, lifecycle, queries, streams
 
-CORE = {**queries.QUERIES, **lifecycle.QUERIES, **streams.QUERIES}
+CORE = {**queries.QUERIES, **arabic.QUERIES, **lifecycle.QUERIES, **streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(set(CORE) & set(entry.oracle_sql())))
@@ -23,3 +23,17 @@ def test_query_without_sql_is_stable(spark, sf, name):
 def test_entry_has_rows_and_every_sql_has_a_query(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fixed_rows_tell_each_rule(spark):
+    """The Arabic rows are of both kinds under every test, and each step of a text rule changes some of them."""
+    flags = arabic.arabic_quality(spark, "").collect()
+    assert all({r[k] for r in flags} == {True, False} for k in ("meaningful", "garbled", "broken", "usable", "arabic"))
+    assert {r.kept for r in arabic.arabic_titles(spark, "").collect()} == {True, False}
+    layers = arabic.arabic_layers(spark, "").collect()
+    assert any(r.chosen != r.seen for r in layers)
+    words, cleaned = arabic.arabic_words(spark, "").collect(), arabic.arabic_clean(spark, "").collect()
+    assert any(r.normal != r.indexed for r in words) and any(r.indexed != r.body for r in words) and any(r.cleaned != r.tidied for r in cleaned) and {r.blank for r in cleaned} == {True, False}
+    assert {r.query_id for r in arabic.arabic_quotes(spark, "").select("query_id").distinct().collect()} == {1, 4, 6, 8, 10}
+    shares = arabic.arabic_subjects(spark, "").collect()
+    assert {r.subject for r in shares} == {True, False} and any(r.with_title > r.share for r in shares) and {0.0, 0.5, 1.0} <= {r.share for r in shares}
