@@ -5,10 +5,12 @@ Used inside Arrow functions over decoded pages (see sources.documents.image_fram
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 # Thresholds of the page layout, as shares of the page where they are below 1.
 INK, MAX_ANGLE, ANGLE_STEP, MIN_ANGLE = 128, 3.0, 0.25, 0.3
@@ -181,3 +183,45 @@ def read_page(grey: np.ndarray, readers: list[Callable[[np.ndarray], tuple[str,
         else:
             done.append(Page(got[0][0], cost))
     return Page("\n\n".join(p.text for p in done if p.text), sum(p.cost for p in done), any(p.fallback for p in done), any(p.disputed for p in done))
+
+
+# --- tables of page images ---------------------------------------------------------------------------------------------
+
+_REGIONS = "path string, frame int, region int, width int, height int, ink double, skew double"
+_PAGES = "path string, frame int, text string, cost double, fallback boolean, disputed boolean, error string"
+
+
+def page_regions(files: DataFrame) -> DataFrame:
+    """IMG1-3, SRC7: one row per region of each frame, in reading order. files: path, content."""
+    from tessera.sources.documents import image_frames
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                for n, frame in enumerate(image_frames(bytes(data))):
+                    rows += [(path, n, i, r.shape[1], r.shape[0], ink_share(r), skew(frame)) for i, r in enumerate(regions(frame))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _REGIONS.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, _REGIONS)
+
+
+def read_pages(files: DataFrame, readers: list[Callable[[np.ndarray], tuple[str, float]]], fallback: Callable[[np.ndarray], str] | None = None) -> DataFrame:
+    """IMG4-5, AGG15: one row per frame, read by the readers given (prepared for the plain one); a page that none can read is a row with an error."""
+    from tessera.sources.documents import image_frames
+
+    plain = (lambda region: fallback(prepared(region))) if fallback else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"]):
+                for n, frame in enumerate(image_frames(bytes(data))):
+                    try:
+                        p = read_page(frame, readers, plain)
+                        rows.append((path, n, p.text, p.cost, p.fallback, p.disputed, None))
+                    except OSError as e:
+                        rows.append((path, n, None, 0.0, False, False, str(e)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PAGES.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, _PAGES)

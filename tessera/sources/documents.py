@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,22 @@ def pdf_pages(data: bytes) -> list[str]:
         return [page.get_textpage().get_text_range() for page in pdf]
 
 
-def image_frames(data: bytes) -> list:
-    """SRC7: every frame of an image as a grey array. Needs Pillow."""
-    import numpy as np
+def grey_frames(data: bytes) -> list[np.ndarray]:
+    """SRC7: the frames of a binary greymap (several may follow each other), with NumPy alone."""
+    out, at = [], 0
+    while m := re.compile(rb"\s*P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s").match(data, at):
+        width, height, most = map(int, m.groups())
+        kind = np.dtype("u1" if most < 256 else ">u2")
+        pixels = np.frombuffer(data, kind, width * height, m.end()).reshape(height, width)
+        out.append(pixels if most == 255 else (pixels.astype(float) * 255 / most).round().astype(np.uint8))
+        at = m.end() + width * height * kind.itemsize
+    return out
+
+
+def image_frames(data: bytes) -> list[np.ndarray]:
+    """SRC7: every frame of an image as a grey array. Formats other than greymaps need Pillow."""
+    if data[:2] == b"P5":
+        return grey_frames(data)
     from PIL import Image, ImageSequence
 
     return [np.asarray(f.convert("L")) for f in ImageSequence.Iterator(Image.open(io.BytesIO(data)))]

@@ -85,7 +85,7 @@ class Progress(StreamingQueryListener):
     def __init__(self, tell, every: float = 1.0):
         import time
 
-        self.tell, self.every, self.clock, self.last, self.rows = tell, every, time.monotonic, -1e9, 0
+        self.tell, self.every, self.clock, self.last, self.rows, self.ended = tell, every, time.monotonic, -1e9, 0, False
 
     def onQueryStarted(self, event) -> None: ...
 
@@ -99,3 +99,4 @@ class Progress(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         self.tell(self.rows)
+        self.ended = True

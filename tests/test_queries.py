@@ -4,9 +4,9 @@ import pytest
 from compare import difference, spark_rows
 
 import __spark_entry__ as entry
-from tessera.plans import arabic, lifecycle, queries, streams
+from tessera.plans import arabic, files, lifecycle, queries, streams
 
-CORE = {**queries.QUERIES, **arabic.QUERIES, **lifecycle.QUERIES, **streams.QUERIES}
+CORE = {**queries.QUERIES, **arabic.QUERIES, **files.QUERIES, **lifecycle.QUERIES, **streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(set(CORE) & set(entry.oracle_sql())))
