@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of a batch that goes to or from a Python worker, and Spark's own default, which alone is replaced.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Python workers find this package whatever folder the driver was started in."""
+    """Python workers find this package whatever folder the driver was started in, and get batches of bounded bytes, however long texts are."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(batch) in (f"{DEFAULT_BATCH_BYTES}b", str(DEFAULT_BATCH_BYTES), "64MB", "64m"):
+        spark.conf.set(batch, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
