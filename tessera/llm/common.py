@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ready, spread
+from tessera.session import ready, shared_folder, spread
 
 #: Separator class of the word contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -36,17 +36,6 @@ def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 # --- scratch storage -------------------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, in a local session only, a temporary folder that is set as such."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 #: Spark's setting that removes a query's shuffle files when the query is done.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -58,7 +47,7 @@ class Scratch:
     opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = ready(spark), f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(self._clear, self.base)
         Scratch.opened.append(self)
 
@@ -82,6 +71,11 @@ class Scratch:
         out._scratch = path
         return out
 
+    def rest(self) -> None:
+        """Lets the driver give back the memory of plans that are done."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for x in tables:
             self._clear(x._scratch)

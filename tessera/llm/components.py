@@ -86,6 +86,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
         scratch.drop(now)
         now = after
         if seen == mark:
+            scratch.rest()
             return now
         mark = seen
     raise RuntimeError(f"components did not settle in {rounds} rounds")

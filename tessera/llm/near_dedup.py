@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, Scratch, attached, column, load, lowered_bytes, mix, owner, packed, raw, sieve, sifted, slices, windows, word_hashes, words
@@ -47,8 +47,8 @@ WORDS = 5
 PERCENT = 80
 TREES, HASHES = 20, 128
 REACH = 32
-#: Rows of a block of an open group.
-CROWD = 2048
+#: Rows of a block of an open group, and of a block of a family whose groups are compared by sketch.
+CROWD, APART = 2048, 140
 
 
 def depth(percent: int) -> int:
@@ -226,18 +226,23 @@ def meet(family: np.ndarray, sketch: np.ndarray, node: np.ndarray, side: np.ndar
                 forest.join(x, y)
 
 
+def _apart(rows: DataFrame, *keys: str) -> GroupedData:
+    """rows grouped by keys, left and right, each group dealt on its own: a table that lies by `keys` already would keep all blocks of a key in one task."""
+    return rows.repartition(*keys, "left", "right").groupBy(*keys, "left", "right")
+
+
 def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD, percent: int = PERCENT) -> DataFrame:
     """a long, b long: every node that is not the smallest of its family, and the smallest. order: tree, prefix, turned, node. Every two nodes
     that share a prefix and look alike are in one family: what neighbours cannot settle meets in blocks of about `crowd` rows."""
     parts = max(1, int(order.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.keep(neighbours(order.repartitionByRange(parts, "tree", "prefix", "turned").sortWithinPartitions("tree", "prefix", "turned"), percent))
-    scratch.release()
     stars = components(found.filter("b is not null").select("a", "b"), scratch)
     rows = found.filter("b is null").select("tree", "prefix", "turned", F.col("a").alias("node"))
     rows = rows.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("family", F.coalesce("root", "node"))
-    groups = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
-    groups = groups.filter("low < high").select("tree", "prefix", F.ceil(F.col("n") / crowd).alias("blocks"))
-    dealt = rows.join(groups, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = scratch.keep(rows.withColumn("group", F.struct("tree", "prefix")))
+    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("low"), F.max("family").alias("high"))
+    groups = groups.filter("low < high").select("group", F.ceil(F.col("n") / crowd).alias("blocks"), "n")
+    dealt = attached(rows, groups, "group", "blocks").filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("tree", "prefix", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "family", "node", "turned")
 
@@ -249,8 +254,7 @@ def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD, percent:
         meet(family, sketch, node, (got["block"].to_numpy() != left).astype(np.int8), forest, loose(percent))
         return pa.Table.from_batches([forest.stars()])
 
-    more = scratch.keep(dealt.groupBy("tree", "prefix", "left", "right").applyInArrow(group, "a long, b long"))
-    scratch.release()
+    more = scratch.keep(_apart(dealt, "tree", "prefix").applyInArrow(group, "a long, b long"))
     return components(stars.union(more), scratch) if more.limit(1).count() else stars
 
 
@@ -329,18 +333,18 @@ def confirmed(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
         confirm(label[ok], sketch[ok], exact_sets([parts[i] for i in ok]), (got["block"].to_numpy() != left).astype(np.int8)[ok], forest, percent)
         return pa.Table.from_batches([forest.stars()])
 
-    return dealt.groupBy("family", "left", "right").applyInArrow(group, "a long, b long")
+    return _apart(dealt, "family").applyInArrow(group, "a long, b long")
 
 
 def _paired(rows: DataFrame, blocks: DataFrame, of: str) -> DataFrame:
     """rows dealt to the blocks of their family (by a hash of `of`), and copied to each pair of blocks: left, right, block."""
-    out = rows.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64(of), F.col("blocks")))
+    out = attached(rows, blocks, "family", "blocks").filter("blocks is not null").withColumn("block", F.pmod(F.xxhash64(of), F.col("blocks")))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return out.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks")
 
 
 def _blocks(rows: DataFrame, texts: int, family: int) -> DataFrame:
-    return rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / texts), F.ceil(F.sum("n") / family)).alias("blocks"))
+    return rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / texts), F.ceil(F.sum("n") / family)).alias("blocks"), F.count(F.lit(1)).alias("n"))
 
 
 def partners(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -354,7 +358,7 @@ def partners(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         meet(got["label"].to_numpy(), sketch, node, (got["block"].to_numpy() != got["left"].to_numpy()).astype(np.int8), seen, loose(percent))
         return pa.table({"node": pa.array(list(seen.up), pa.int64())})
 
-    return rows.groupBy("family", "left", "right").applyInArrow(group, "node long").distinct()
+    return _apart(rows, "family").applyInArrow(group, "node long").distinct()
 
 
 def settled(held: DataFrame, links: DataFrame, scratch: Scratch, texts: int, family: int, crowd: int, percent: int) -> DataFrame:
@@ -363,26 +367,27 @@ def settled(held: DataFrame, links: DataFrame, scratch: Scratch, texts: int, fam
     before = None
     while True:
         tops = scratch.keep(nodes.join(links.select(F.col("a").alias("node")), "node", "left_anti").select("family", "node", "n"))
-        blocks = scratch.keep(_blocks(tops, texts, family).join(tops.groupBy("family").agg(F.count(F.lit(1)).alias("tops")).filter("tops > 1"), "family").drop("tops"))
+        blocks = scratch.keep(_blocks(tops, texts, family).filter("n > 1"))
         most, = blocks.agg(F.max("blocks")).first()
         left = tops.count()
         if not most or (before is not None and left > 0.8 * before):
             break
-        met = held.join(tops.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(left)), F.col("blocks"))).select("node", "block"), "node")
+        dealt = attached(tops.select("family", "node"), blocks, "family", "blocks", left).filter("blocks is not null")
+        met = held.join(dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(left)), F.col("blocks"))).select("node", "block"), "node")
         more = confirmed(met.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "block", F.col("node").alias("label"), "digest", "sketch", "text"), percent)
         links, before = components(links.union(scratch.keep(more)), scratch), left
         if most == 1:
             break
     label = nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("label", F.coalesce("root", "node"))
     apart = label.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes")).filter("low < high")
-    rows = label.join(apart.select("family"), "family", "left_semi").select("family", "node", "label", "sketch")
-    met = partners(_paired(rows, apart.select("family", F.ceil(F.col("nodes") / crowd).alias("blocks")), "node"), percent)
+    label = scratch.keep(label)
+    apart = apart.select("family", F.ceil(F.col("nodes") / min(crowd, APART)).alias("blocks"), F.col("nodes").alias("n"))
+    met = partners(_paired(label.select("family", "node", "label", "sketch"), apart, "node"), percent)
     met = scratch.keep(label.join(met, "node").select("family", "node", "label", "n"))
     if not met.limit(1).count():
         return links
     dealt = held.join(_paired(met.drop("n"), _blocks(met, 1 << 40, family), "node").drop("family"), "node")
     more = scratch.keep(confirmed(dealt.select("family", "left", "right", "block", "label", "digest", "sketch", "text"), percent))
-    scratch.release()
     return components(links.union(more), scratch)
 
 
@@ -400,11 +405,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
         .select("tree", F.conv(F.hex(F.expr("substring(prefixes, tree * 8 + 1, 8)")), 16, -10).cast("long").alias("prefix"), F.concat(F.expr(f"substring(sketch, (tree * 3) % {half} + 1)"), F.expr(f"substring(sketch, 1, (tree * 3) % {half})")).alias("turned"), "node")
     )
     stars = candidates(order, scratch, crowd, percent)
-    scratch.release()
+    scratch.rest()
     member = stars.select(F.col("a").alias("node"), F.col("b").alias("family")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("family")).distinct())
     member = scratch.keep(member.join(nodes, "node").select("family", "node", "id", "digest", "n", "sketch"))
     blocks = scratch.keep(_blocks(member, texts, family))
-    dealt = member.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = attached(member, blocks, "family", "blocks").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     own = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
     own = sifted(own, F.col("id"), sieve(member, "id"), "some").filter("some").drop("some")
     wide = blocks.filter("blocks > 1").limit(1).count() > 0
@@ -412,7 +417,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     held = scratch.keep(held) if wide else held
     links = held.select("family", F.col("block").alias("left"), F.col("block").alias("right"), "block", F.col("node").alias("label"), "digest", "sketch", "text")
     links = scratch.keep(confirmed(links, percent))
-    scratch.release()
+    scratch.rest()
     if wide:
         links = settled(held.filter("blocks > 1").drop("blocks", "block"), links, scratch, texts, family, crowd, percent)
     root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import column, load, slices, strings
+from tessera.llm.common import column, load, ready, slices, strings
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -211,6 +211,7 @@ PIECES = T.StructType([T.StructField(k, T.LongType()) for k in ("doc_id", "start
 def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES, path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids binary (as the tokenizer's table packs
     them, little-endian)."""
+    ready(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.pmod(F.xxhash64(docs[doc_id], docs[text], F.lit(SEED)), F.lit(groups)).alias("part"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessera.llm.common import column, load, slices
+from tessera.llm.common import column, load, ready, slices
 
 #: For the query and the pipeline on synthetic data only; anything else needs a key of its own.
 TEST_KEY = "public-test-key"
@@ -445,6 +445,7 @@ def _texts(col: pa.Array) -> list[str | None]:
 def replace(docs: DataFrame, key: str, text: str = "text", entities: str | None = None) -> DataFrame:
     """docs with surrogates in its text column; with `entities`, also a column of that name that lists types, places and surrogates (never
     the originals)."""
+    ready(docs.sparkSession)
     schema = T.StructType(docs.schema.fields + ([T.StructField(entities, T.ArrayType(MARK))] if entities else []))
     at = docs.columns.index(text)
 
