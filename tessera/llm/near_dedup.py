@@ -12,7 +12,7 @@
    pairs that look at least loose() alike and are not yet connected are confirmed on their full sets, most alike first. Of families of
    several blocks, one text of each group found so far meets the others in the same way, again and again, which joins a large family of near
    copies at a cost in proportion to its texts. Only where groups of one family are still apart after that, their texts are compared by sketch, and
-   those with a partner that looks alike in another group meet in blocks of FAMILY shingles, each two blocks once. No pair leaves a task
+   those with a partner that looks alike in another group meet in blocks of at most CROWD texts and FAMILY shingles, each two blocks once. No pair leaves a task
    but the edges of the forest of confirmed links.
 4. Components of confirmed links are the groups.
 
@@ -48,7 +48,7 @@ PERCENT = 80
 TREES, HASHES = 20, 128
 REACH = 32
 #: Rows of a block of an open group, and of a block of a family whose groups are compared by sketch.
-CROWD, APART = 2048, 140
+CROWD, APART = 600, 140
 
 
 def depth(percent: int) -> int:
@@ -386,7 +386,7 @@ def settled(held: DataFrame, links: DataFrame, scratch: Scratch, texts: int, fam
     met = scratch.keep(label.join(met, "node").select("family", "node", "label", "n"))
     if not met.limit(1).count():
         return links
-    dealt = held.join(_paired(met.drop("n"), _blocks(met, 1 << 40, family), "node").drop("family"), "node")
+    dealt = held.join(_paired(met.drop("n"), _blocks(met, crowd, family), "node").drop("family"), "node")
     more = scratch.keep(confirmed(dealt.select("family", "left", "right", "block", "label", "digest", "sketch", "text"), percent))
     return components(links.union(more), scratch)
 
