@@ -50,3 +50,18 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
             out = fn(spark, docs, str(tmp_path))
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert (docs.count() > 0) == bool(some)
+
+
+def test_stages_keep_extra_columns_and_long_texts(spark, edge, tmp_path):
+    """The rows of the edge fixture (nulls, copies, a text of 150,000 characters, columns with clashing names) through all stages."""
+    spark.createDataFrame([(11, 1), (3, 1), (20, 1), (40, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = edge
+    for k, (_, fn) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = fn(spark, docs, str(tmp_path))
+        assert out.columns == edge.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    kept = docs.collect()
+    assert len({r.doc_id for r in kept}) <= len(kept) <= edge.count() and any(len(r.text or "") == 150_000 for r in kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
