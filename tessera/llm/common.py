@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ready, shared_folder, spread
 
+pa.set_cpu_count(1)  # a task has one core; further threads of Arrow's would each keep memory of their own
+
 #: Separator class of the word contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker holds in numpy form at a time; a longer single text is one slice.
@@ -145,8 +147,10 @@ def _trim():
         return lambda _: 0
 
 
-def release() -> None:
-    """Gives free memory of this Python worker back to the system, for the executor's other users."""
+def release(rows: int | None = None) -> None:
+    """Gives free memory of this Python worker back to the system, for the executor's other users; after small groups (of fewer than 64 rows) not."""
+    if rows is not None and rows < 64:
+        return
     pa.default_memory_pool().release_unused()
     _trim()(0)
 

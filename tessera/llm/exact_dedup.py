@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CLASS, Scratch, load
+from tessera.llm.common import SPACE_CLASS, Scratch, load, sieve, sifted
 
 FAN_IN = 8
 
@@ -66,11 +66,15 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fan_in:
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, all columns. Rows are numbered and written once, since doc_id need not tell them apart."""
-    row = f"row_{uuid.uuid4().hex}"
-    rows = Scratch(docs.sparkSession, "exact-rows").keep(docs.withColumn(row, F.monotonically_increasing_id()))
-    stay = assign(rows, text, doc_id, row=row).filter("kept").select(F.col("row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*docs.columns)
+    """The rows of docs that stay, all columns. Rows are numbered and written once, since doc_id need not tell them apart. Only rows that a sieve of the numbers that
+    go does not let through at once are shuffled."""
+    row, flag = (f"{x}_{uuid.uuid4().hex}" for x in ("row", "maybe"))
+    scratch = Scratch(docs.sparkSession, "exact-rows")
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = scratch.keep(assign(rows, text, doc_id, row=row).filter("not kept").select(F.col("row").alias(row)))
+    marked = sifted(rows, F.col(row), sieve(gone, row), flag)
+    stay = marked.filter(~F.col(flag)).select(*docs.columns)
+    return stay.unionByName(marked.filter(flag).join(gone, row, "left_anti").select(*docs.columns))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

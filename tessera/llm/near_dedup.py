@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Scratch, attached, column, load, lowered_bytes, mix, owner, packed, raw, sieve, sifted, slices, windows, word_hashes, words
+from tessera.llm.common import U64, Scratch, attached, column, load, lowered_bytes, mix, owner, packed, raw, release, sieve, sifted, slices, windows, word_hashes, words
 from tessera.llm.components import Forest, components
 
 WORDS = 5
@@ -252,6 +252,7 @@ def candidates(order: DataFrame, scratch: Scratch, crowd: int = CROWD, percent:
         sketch = raw(got["turned"].combine_chunks() if isinstance(got["turned"], pa.ChunkedArray) else got["turned"])[0].reshape(len(node), -1)
         forest = Forest()
         meet(family, sketch, node, (got["block"].to_numpy() != left).astype(np.int8), forest, loose(percent))
+        release(len(node))
         return pa.Table.from_batches([forest.stars()])
 
     more = scratch.keep(_apart(dealt, "tree", "prefix").applyInArrow(group, "a long, b long"))
@@ -331,6 +332,8 @@ def confirmed(dealt: DataFrame, percent: int = PERCENT) -> DataFrame:
         sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(label), -1)
         forest = Forest()
         confirm(label[ok], sketch[ok], exact_sets([parts[i] for i in ok]), (got["block"].to_numpy() != left).astype(np.int8)[ok], forest, percent)
+        del parts, sets, sketch
+        release(len(label))
         return pa.Table.from_batches([forest.stars()])
 
     return _apart(dealt, "family").applyInArrow(group, "a long, b long")
@@ -356,6 +359,7 @@ def partners(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         sketch = raw(got["sketch"].combine_chunks() if isinstance(got["sketch"], pa.ChunkedArray) else got["sketch"])[0].reshape(len(node), -1)
         seen = Forest()
         meet(got["label"].to_numpy(), sketch, node, (got["block"].to_numpy() != got["left"].to_numpy()).astype(np.int8), seen, loose(percent))
+        release(len(node))
         return pa.table({"node": pa.array(list(seen.up), pa.int64())})
 
     return _apart(rows, "family").applyInArrow(group, "node long").distinct()
