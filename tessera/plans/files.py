@@ -70,7 +70,7 @@ def listed_files(spark, d):
     """SRC15, SRC19, SNK13: texts written as files, found below their folder by name, with a cap on size, and read as lines."""
     folder = _folder(spark)
     writers.text_lines(table(spark, d, "conversations").select(F.translate("text", "\n\r", "  ").alias("text")), f"{folder}/a/b")
-    writers.text_lines(spark.range(3).select(F.repeat(F.lit("x"), 1 << 26).alias("text")), f"{folder}/large")  # over the cap
+    writers.text_lines(spark.range(1).select(F.repeat(F.lit("x"), (1 << 25) + 1).alias("text")), f"{folder}/large")  # over the cap
     found = coll.files(spark, folder, "part-*", 1 << 25)
     return found.select(F.explode(F.split(F.regexp_replace(coll.decoded("content"), "\n$", ""), "\n")).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
