@@ -50,12 +50,19 @@ def shown(similarity: Column | str) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), col(similarity))), 4)
 
 
-def merged(exact: DataFrame, close: DataFrame, top_k: int) -> DataFrame:
+def nulls_last(*cols: Column | str) -> Column:
+    """A place that orders by these columns, rows without a value last, as SQL's ORDER BY has them; a plain struct puts them first."""
+    return F.struct(*[c for i, x in enumerate(map(col, cols)) for c in (x.isNull().alias(f"no{i}"), x.alias(f"v{i}"))])
+
+
+def merged(exact: DataFrame, close: DataFrame, top_k: int, blank: bool = False) -> DataFrame:
     """SET1/WIN1/ORD8: exact hits, then close ones; each text once, at its first place; at most top_k per query.
 
-    exact and close: query_id, key, text, similarity, place (order within its branch), and any columns both have."""
+    exact and close: query_id, key, text, similarity, place (order within its branch), and any columns both have. blank: blank texts are hits too,
+    and no text is needed."""
     both = exact.withColumn("branch", F.lit(0)).unionByName(close.withColumn("branch", F.lit(1)))
-    both = both.filter(~tx.blank("text"))
+    if not blank:
+        both = both.filter(~tx.blank("text"))
     first = F.row_number().over(W.partitionBy("query_id", "key").orderBy("branch", "place"))
     once = both.withColumn("_n", first).filter("_n = 1").drop("_n")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("branch", "place", "key"))
