@@ -1,5 +1,6 @@
 """Text rules on small cases: cleaning, folding, quality, passages, subjects, readings."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def test_subject_overlap(spark):
     assert one(spark, subjects.overlap("q", "t", whole=True), q="الصوم", t="كتاب الصوم") == 1.0
 
 
+def test_best_subjects_by_task_and_by_join(spark):
+    """The best texts found in each task are those of all shares; no pairs are joined, grouped or shuffled."""
+    words = ["فضل", "الصلوات", "وأمك", "صلاتك", "الأم", "الصوم", "كتاب", "abc", "of", "the", "x", "w" * 100, "والديه"]
+    rows = [(i, " ".join(words[(i * k) % len(words)] for k in range(1, 1 + i % 6))) for i in range(300)] + [(300, None), (301, ""), (302, "ab" * 5000), (None, "the of")]
+    texts = spark.createDataFrame(rows, "rowid long, text string").repartition(5)
+    q = spark.createDataFrame([("a", "فضل الأم"), ("b", "الصلاة والصوم"), ("c", "the of"), ("d", "the the abc " + "w" * 100), ("e", ""), ("f", "فضل"), ("g", "nowhere"), ("h", "x")], "query_id string, query string")
+    rows_of = lambda df: sorted(map(tuple, df.select("query_id", "rowid", "share", "pos").collect()), key=repr)
+    for n in (1, 7, 1000):
+        df = subjects.best(q, texts, n)
+        assert rows_of(df) == rows_of(subjects.best_subjects(subjects.overlaps(q, texts), n)) == rows_of(subjects.best(q, texts, n, most=3))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert rows_of(subjects.best(q.limit(0), texts, 3)) == rows_of(subjects.best(q, texts.limit(0), 3)) == []
+
+
+def test_a_task_hands_on_the_best_texts_only():
+    """However many texts and batches, n rows of each query; small tables of texts and words give the same."""
+    batch = lambda lo: pa.RecordBatch.from_arrays([pa.array(range(lo + 100, lo, -1)), pa.array([["one", "two"][: 1 + i % 2] if i % 9 else None for i in range(100)])], names=["rowid", "words"])
+    for cells in (1, 7, 1 << 20):
+        out = list(subjects._best_of(["p", "q"], [["one", "two", "two"], ["two"]], 4, pa.string(), cells)(batch(lo) for lo in range(0, 1000, 100)))
+        assert sorted(map(tuple, map(dict.values, pa.Table.from_batches(out).to_pylist()))) == [("p", i, 3, 3) for i in (3, 5, 7, 9)] + [("q", i, 1, 1) for i in (3, 5, 7, 9)]
+
+
 def test_quote_rules(spark):
     formula, plain = "حدثنا فلان عن النبي", "كلمات عادية متتالية"
     rows = [(i, f"{formula} نص {i}") for i in range(30)] + [(100 + i, f"بداية {plain} نهاية {i}") for i in range(30)] + [(200 + i, f"عبارة شائعة جدا هنا {i}") for i in range(70)]
